@@ -43,9 +43,12 @@ def doc_tokens(entries: DataFrame, text_col: str = "line") -> DataFrame:
 def term_frequencies(entries: DataFrame, text_col: str = "line") -> DataFrame:
     """(term, entry_id, tf, dl)."""
     toks = doc_tokens(entries, text_col)
+    # explode_outer + null filter: plain explode makes the optimizer add a
+    # size(tokens) > 0 filter that re-evaluates the tokenizer.
     return (
         toks.select("entry_id", F.size("tokens").cast("bigint").alias("dl"),
-                    F.explode("tokens").alias("term"))
+                    F.explode_outer("tokens").alias("term"))
+        .where(F.col("term").isNotNull())
         .groupBy("term", "entry_id", "dl")
         .agg(F.count(F.lit(1)).alias("tf"))
         .select("term", "entry_id", "tf", "dl")
@@ -79,22 +82,20 @@ def build_index(entries: DataFrame, text_col: str = "line") -> Bm25Index:
     return Bm25Index(term_frequencies(entries, text_col), doc_stats(entries, text_col))
 
 
-def write_index(index: Bm25Index, path: str, n_files: int | None = None) -> Bm25Index:
+def write_index(index: Bm25Index, path: str) -> Bm25Index:
     """Persist the index as Parquet and return it read back.
 
-    Postings are range-partitioned and sorted by (term, entry_id): each file
-    holds a term range, so the parquet min/max statistics let a scan with a
-    ``term IN (...)`` filter skip every row group that holds none of the
-    query terms. Ranging on (term, entry_id), not term alone, splits a hot
-    term (a year token occurs in every line) over several files.
+    Postings leave the (term, entry_id) aggregation hash-partitioned; each
+    partition is sorted by term before writing, so every row group covers a
+    narrow term range and the parquet min/max statistics let a scan with a
+    ``term IN (...)`` filter skip row groups holding none of the query
+    terms. No range repartition: its sampling pass would re-run the
+    tokenizer over the whole corpus.
     """
     spark = index.postings.sparkSession
-    n = n_files or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    (index.postings.repartitionByRange(n, "term", "entry_id")
-     .sortWithinPartitions("term", "entry_id")
+    (index.postings.sortWithinPartitions("term", "entry_id")
      .write.mode("overwrite").parquet(f"{path}/postings"))
-    (index.docs.repartitionByRange(n, "entry_id").sortWithinPartitions("entry_id")
-     .write.mode("overwrite").parquet(f"{path}/docs"))
+    index.docs.write.mode("overwrite").parquet(f"{path}/docs")
     return read_index(spark, path)
 
 

@@ -26,6 +26,15 @@ from quire.operators.sizing import BROADCAST_MAX_ROWS, bounded_broadcast, row_co
 PUSHDOWN_MAX_TERMS = 20_000
 
 
+def in_list(col: str, values: list[str]) -> F.Column:
+    """``col IN (...)`` built as one SQL expression (one call into the JVM
+    rather than one per literal); pushed to the parquet scan."""
+    if not values:
+        return F.lit(False)
+    quoted = ",".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
+    return F.expr(f"`{col}` IN ({quoted})")
+
+
 def query_terms(queries: DataFrame, text_col: str = "query") -> DataFrame:
     """(query_id, term, qtf). Repeated query terms each add score, so they
     are kept as a multiplicity, not dropped."""
@@ -47,51 +56,63 @@ def ranked(df: DataFrame, score_col: str, k: int, partition_col: str = "query_id
 
 def bm25_scores(index: Bm25Index, queries: DataFrame, k1: float = BM25_K1,
                 b: float = BM25_B, text_col: str = "query") -> DataFrame:
-    """(query_id, entry_id, score) for every entry sharing a term with the query."""
+    """(entry_id, query_id, score) for every entry sharing a term with the query.
+
+    score = sum over query-term occurrences of idf(term) * tfn(entry, term),
+    tfn = tf*(k1+1) / (tf + k1*(1 - b + b*dl/avg_dl)). ``tfn`` is computed
+    once per posting and ``qtf * idf`` once per (query, term), so the large
+    postings-times-queries join only multiplies and sums.
+    """
+    spark = queries.sparkSession
     qt = query_terms(queries, text_col)
-    qt_b = bounded_broadcast(qt)
     postings = index.postings
     distinct_terms = qt.select("term").distinct()
     if row_count_at_most(distinct_terms, PUSHDOWN_MAX_TERMS):
         # Bounded: at most PUSHDOWN_MAX_TERMS short strings reach the driver.
         terms = [r.term for r in distinct_terms.collect()]
-        postings = postings.where(F.col("term").isin(terms))
+        postings = postings.where(in_list("term", terms))
+    else:
+        postings = postings.join(F.broadcast(distinct_terms), "term", "left_semi") \
+            if row_count_at_most(distinct_terms, BROADCAST_MAX_ROWS) \
+            else postings.join(distinct_terms, "term", "left_semi")
     stats = index.stats
     n_docs = stats.select("n_docs").scalar()
     avg_dl = stats.select("avg_dl").scalar()
-    df = term_df(postings, qt)
-    contrib = (
-        postings.join(qt_b, "term")
-        .join(df, "term")
-        .select("query_id", "entry_id",
-                (F.col("qtf") * bm25_weight(idf(n_docs, F.col("df")), "tf", "dl", avg_dl, k1, b))
-                .alias("w"))
-    )
-    return contrib.groupBy("query_id", "entry_id").agg(F.sum("w").alias("score"))
-
-
-def term_df(postings: DataFrame, qt: DataFrame) -> DataFrame:
-    """Document frequency of the query terms only (semi-join first, so the
-    count runs over the query terms' postings, not the whole index)."""
-    terms = bounded_broadcast(qt.select("term").distinct())
-    return postings.join(terms, "term", "left_semi").groupBy("term") \
-        .agg(F.count(F.lit(1)).alias("df"))
+    # Per-term weight of each query: qtf * idf, df counted over the same
+    # filtered postings (one postings read serves both uses).
+    term_idf = postings.groupBy("term").agg(idf(n_docs, F.count(F.lit(1))).alias("idf"))
+    qw = qt.join(term_idf, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("qw"))
+    tfn = (F.col("tf").cast("double") * (k1 + 1.0)) / (
+        F.col("tf").cast("double") + k1 * (1.0 - b + b * F.col("dl").cast("double") / avg_dl))
+    # Hash-partition the postings by entry (explicit count, so AQE keeps the
+    # parallelism of this CPU-heavy stage): the broadcast join keeps that
+    # partitioning and the per-(entry, query) sum needs no second shuffle.
+    # The shuffle carries postings, not queries-times-postings rows.
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    weighted = postings.select("term", "entry_id", tfn.alias("tfn")).repartition(n_parts, "entry_id")
+    contrib = weighted.join(bounded_broadcast(qw), "term") \
+        .select("entry_id", "query_id", (F.col("qw") * F.col("tfn")).alias("w"))
+    return contrib.groupBy("entry_id", "query_id").agg(F.sum("w").alias("score"))
 
 
 def with_doc_info(top: DataFrame, index_docs: DataFrame, entries: DataFrame | None,
-                  max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                  top_rows_bound: int) -> DataFrame:
+    """Attach topic (and line) to a top-k table. ``top`` holds at most
+    ``top_rows_bound`` rows (queries x k, known before running it), so it is
+    the side broadcast when that bound is small; the corpus never is."""
     info = index_docs.select("entry_id", "topic")
     if entries is not None:
         info = entries.select("entry_id", "topic", "line")
-    # ``top`` holds at most k rows per query: broadcast it, not the corpus.
-    return info.join(bounded_broadcast(top, max_rows), "entry_id")
+    side = F.broadcast(top) if top_rows_bound <= BROADCAST_MAX_ROWS else top
+    return info.join(side, "entry_id")
 
 
 def bm25_candidates(index: Bm25Index, queries: DataFrame, k: int = CANDIDATE_DEPTH,
                     entries: DataFrame | None = None, text_col: str = "query") -> DataFrame:
     """Top ``k`` per query with the unrounded score (for further scoring)."""
     top = ranked(bm25_scores(index, queries, text_col=text_col), "score", k)
-    return with_doc_info(top, index.docs, entries)
+    bound = queries.select("query_id").distinct().count() * k
+    return with_doc_info(top, index.docs, entries, bound)
 
 
 def bm25_topk(index: Bm25Index, queries: DataFrame, k: int = CANDIDATE_DEPTH,

@@ -13,15 +13,30 @@ from pyspark.sql import DataFrame, SparkSession
 from quire.functions.dates import as_of_day
 from quire.operators import index as ix
 from quire.operators import lexical
+from quire.session import fresh_path
 from quire.sources import fixtures as fx
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 AS_OF_DAY = as_of_day(fx.AS_OF)
 
 
+# Written index per (application, input dir): queries search a persisted
+# index, as the reference searches its cached one; inputs are read-only.
+_INDEX_PATHS: dict[tuple[str, str, str], str] = {}
+
+
+def persisted_index(spark: SparkSession, sf_dir: str, text_col: str = "line") -> ix.Bm25Index:
+    key = (spark.sparkContext.applicationId, sf_dir, text_col)
+    path = _INDEX_PATHS.get(key)
+    if path is None:
+        path = fresh_path(spark, "bm25-index")
+        ix.write_index(ix.build_index(fx.entries(spark, sf_dir), text_col), path)
+        _INDEX_PATHS[key] = path
+    return ix.read_index(spark, path)
+
+
 def _index(spark: SparkSession, sf_dir: str):
-    ents = fx.entries(spark, sf_dir)
-    return ents, ix.build_index(ents)
+    return fx.entries(spark, sf_dir), persisted_index(spark, sf_dir)
 
 
 def q_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

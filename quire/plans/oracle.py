@@ -65,10 +65,9 @@ dfs AS (SELECT term, COUNT(*) AS df FROM postings GROUP BY term)""".format(tk=to
 BM25_SCORES = """
 scores AS (
   SELECT q.query_id, p.entry_id,
-         SUM(CAST(q.qtf AS DOUBLE) *
-             (ln((CAST(s.n_docs AS DOUBLE) - d.df + 0.5) / (d.df + 0.5) + 1.0)
-              * (CAST(p.tf AS DOUBLE) * (1.2 + 1.0))
-              / (CAST(p.tf AS DOUBLE) + 1.2 * (1.0 - 0.75 + 0.75 * CAST(p.dl AS DOUBLE) / s.avg_dl))))
+         SUM(CAST(q.qtf AS DOUBLE) * ln((CAST(s.n_docs AS DOUBLE) - d.df + 0.5) / (d.df + 0.5) + 1.0)
+             * ((CAST(p.tf AS DOUBLE) * (1.2 + 1.0))
+                / (CAST(p.tf AS DOUBLE) + 1.2 * (1.0 - 0.75 + 0.75 * CAST(p.dl AS DOUBLE) / s.avg_dl))))
            AS score
   FROM qterms q JOIN postings p USING (term) JOIN dfs d USING (term) CROSS JOIN stats s
   GROUP BY q.query_id, p.entry_id

@@ -35,6 +35,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin a scan that yields fewer partitions than the cluster has
+    cores (a single-row-group file is one task). CPU-heavy per-row work
+    (tokenizing, hashing) then runs in parallel. On a large table the scan
+    already has thousands of splits and this is a no-op."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def entries_from_documents(documents: DataFrame) -> DataFrame:
     doc_id = F.col("doc_id")
     entry_date = F.date_add(F.lit(ENTRY_EPOCH), (doc_id % DATE_SPAN_DAYS).cast("int"))
@@ -54,7 +63,7 @@ def entries_from_documents(documents: DataFrame) -> DataFrame:
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entries_from_documents(table(spark, sf_dir, "documents"))
+    return entries_from_documents(spread(table(spark, sf_dir, "documents")))
 
 
 def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +101,7 @@ def new_writes(spark: SparkSession, sf_dir: str, as_of: _dt.date = AS_OF) -> Dat
 def note_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a topic file: one row per text line, ``seq`` = line
     number (0-based). Used by the first-match line edits."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return docs.select(
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("topic"),
         F.posexplode(F.split(F.col("text"), "\n")).alias("seq", "line"),
