@@ -9,6 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.functions.dates import epoch_day
+from quire.functions.scoring import SCORE_DIGITS, boost, idf
+from quire.functions.text import normalize_topic, parse_entry, render_entry, tokenize
+from quire.operators import notes
+from quire.sources import tables
 
 from quire.functions.dates import as_of_day
 from quire.operators import index as ix
@@ -49,7 +56,160 @@ def q_bm25_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.bm25_boosted(index, ents, fx.search_queries(spark, sf_dir), AS_OF_DAY)
 
 
+# --- query parameters (a user's arguments) ----------------------------------
+READ_TOPIC = "En"          # normalised to 'en'
+FORGET_TOPIC = "EN"
+FORGET_SEARCH = "2024-03-"  # literal, case-insensitive, over the whole line
+# ---------------------------------------------------------------------------
+
+
+def q_normalize_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = fx.table(spark, sf_dir, "events")
+    return ev.select("event_id", normalize_topic("event_type").alias("topic"),
+                     normalize_topic("props").alias("props_topic"))
+
+
+def q_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = fx.spread(fx.table(spark, sf_dir, "documents"))
+    return docs.select("doc_id", F.posexplode(tokenize("text")).alias("pos", "token")) \
+        .select("doc_id", F.col("pos").cast("bigint").alias("pos"), "token")
+
+
+def q_parse_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = parse_entry("line")
+    return fx.entries(spark, sf_dir).select(
+        "entry_id", p["date"].alias("parsed_date"), p["body"].alias("parsed_body"),
+        p["count"].alias("parsed_count"))
+
+
+def q_render_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.entries(spark, sf_dir).select(
+        "entry_id", render_entry("entry_date", "body", "reinforce_count").alias("line"))
+
+
+def q_entry_epoch_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = fx.table(spark, sf_dir, "events")
+    day = F.date_format("ts", "yyyy-MM-dd")
+    return ev.select("event_id", day.alias("day_str"), epoch_day(day).alias("epoch_day"))
+
+
+def q_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.entries(spark, sf_dir).select(
+        "entry_id", F.round(boost("line", AS_OF_DAY), SCORE_DIGITS).alias("boost"))
+
+
+def q_term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return persisted_index(spark, sf_dir).postings.select("term", "entry_id", "tf")
+
+
+def q_term_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = persisted_index(spark, sf_dir)
+    n_docs = index.stats.select("n_docs").scalar()
+    return index.term_stats.select(
+        "term", "df", F.round(idf(n_docs, "df"), SCORE_DIGITS).alias("idf"))
+
+
+def q_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return persisted_index(spark, sf_dir).stats.select(
+        "n_docs", "total_tokens", F.round("avg_dl", SCORE_DIGITS).alias("avg_dl"))
+
+
+def q_build_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = ix.write_index(ix.build_index(fx.entries(spark, sf_dir)), fresh_path(spark, "bm25-index"))
+    return built.postings.select("term", "entry_id", "tf")
+
+
+def accepted_new_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = notes.validate_writes(fx.new_writes(spark, sf_dir))
+    return notes.writes_to_entries(v.where("accepted"))
+
+
+def q_refresh_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ents = fx.entries(spark, sf_dir)
+    _, removed = notes.forget(ents, FORGET_TOPIC, FORGET_SEARCH)
+    base = persisted_index(spark, sf_dir)
+    fresh = ix.refresh_index(base, removed.select("entry_id"), accepted_new_entries(spark, sf_dir))
+    out = ix.write_index(fresh, fresh_path(spark, "bm25-index"))
+    return out.postings.select("term", "entry_id", "tf")
+
+
+def q_read_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notes.read_topic(fx.entries(spark, sf_dir), READ_TOPIC).select("entry_id", "seq", "line")
+
+
+def q_topic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notes.topic_counts(fx.entries(spark, sf_dir))
+
+
+def q_forget_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, removed = notes.forget(fx.entries(spark, sf_dir), FORGET_TOPIC, FORGET_SEARCH)
+    return removed.select("entry_id", "topic", "line")
+
+
+def q_forget_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept, _ = notes.forget(fx.entries(spark, sf_dir), FORGET_TOPIC, FORGET_SEARCH)
+    return kept.select("entry_id", "topic")
+
+
+def q_validate_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notes.validate_writes(fx.new_writes(spark, sf_dir)).select(
+        "seq", "topic", "accepted", "reason")
+
+
+ENTRY_COLS = ["entry_id", "topic", "entry_date", "body", "reinforce_count", "line", "seq"]
+
+
+def q_append_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "entries")
+    tables.write_table(fx.entries(spark, sf_dir).select(*ENTRY_COLS), path, ("topic",))
+    tables.append_table(accepted_new_entries(spark, sf_dir).select(*ENTRY_COLS), path, ("topic",))
+    return tables.read_table(spark, path).select("entry_id", "topic", "line", "seq")
+
+
+def q_reaffirm_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notes.reaffirm_rollup(fx.entries(spark, sf_dir)).select(
+        "topic", "seq", "entry_date", "reinforce_count", "n_merged", "line")
+
+
+def duplicate_line_requests(lines: DataFrame) -> DataFrame:
+    """Every line that occurs more than once in its topic, with its first
+    copy to be rewritten as ``line [×n]``."""
+    return lines.groupBy("topic", "line").agg(F.count(F.lit(1)).alias("n")).where("n >= 2") \
+        .select("topic", F.col("line").alias("old_line"),
+                F.concat("line", F.lit(" [×"), F.col("n").cast("string"), F.lit("]")).alias("new_line"))
+
+
+def q_replace_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = fx.note_lines(spark, sf_dir)
+    return notes.replace_first(lines, duplicate_line_requests(lines)).select("topic", "seq", "line")
+
+
+def q_remove_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = fx.note_lines(spark, sf_dir)
+    return notes.remove_first(lines, duplicate_line_requests(lines)).select("topic", "seq", "line")
+
+
 QUERIES: dict[str, QueryFn] = {
+    "normalize_topic": q_normalize_topic,
+    "tokenize": q_tokenize,
+    "parse_entry": q_parse_entry,
+    "render_entry": q_render_entry,
+    "entry_epoch_day": q_entry_epoch_day,
+    "boost": q_boost,
+    "term_frequencies": q_term_frequencies,
+    "term_idf": q_term_idf,
+    "corpus_stats": q_corpus_stats,
+    "build_index": q_build_index,
+    "refresh_index": q_refresh_index,
+    "read_topic": q_read_topic,
+    "topic_counts": q_topic_counts,
+    "forget_removed": q_forget_removed,
+    "forget_kept": q_forget_kept,
+    "validate_writes": q_validate_writes,
+    "append_entries": q_append_entries,
+    "reaffirm_rollup": q_reaffirm_rollup,
+    "replace_first": q_replace_first,
+    "remove_first": q_remove_first,
     "bm25_topk": q_bm25_topk,
     "bm25_boosted": q_bm25_boosted,
 }

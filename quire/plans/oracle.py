@@ -95,3 +95,182 @@ ORACLE: dict[str, str] = {}
 ORACLE["bm25_topk"] = with_(ENTRIES, QUERIES, index_ctes(), BM25_SCORES) + """
 SELECT t.query_id, CAST(t.rank AS BIGINT) AS rank, t.entry_id, e.topic, round(t.score, 6) AS score
 FROM bm25_top t JOIN entry_lines e USING (entry_id)"""
+
+
+# --- scalar helpers ------------------------------------------------------------
+
+def norm_topic(x: str) -> str:
+    return rf"trim(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}-]', '-', 'g'), '-')"
+
+
+WS = (r"[\x{0009}-\x{000D}\x{0020}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}"
+      r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
+
+
+def blank(x: str) -> str:
+    return f"(regexp_replace({x}, '{WS}+', '', 'g') = '')"
+
+
+def epoch_day(s: str) -> str:
+    y, m, d = f"substr({s}, 1, 4)", f"substr({s}, 6, 2)", f"substr({s}, 9, 2)"
+    yi, mi, di = (f"TRY_CAST({y} AS BIGINT)", f"TRY_CAST(replace({m}, '+', '') AS BIGINT)",
+                  f"TRY_CAST(replace({d}, '+', '') AS BIGINT)")
+    ok = (f"(strlen({s}) = 10 AND substr({s}, 5, 1) = '-' AND substr({s}, 8, 1) = '-' "
+          rf"AND regexp_full_match({y}, '[0-9]{{4}}') "
+          rf"AND regexp_full_match({m}, '\+[0-9]|[0-9]{{2}}') "
+          rf"AND regexp_full_match({d}, '\+[0-9]|[0-9]{{2}}') "
+          f"AND {yi} >= 1970 AND {mi} BETWEEN 1 AND 12 AND {di} BETWEEN 1 AND 31)")
+    return (f"(CASE WHEN {ok} THEN date_diff('day', DATE '1970-01-01', "
+            f"make_date({yi}, {mi}, 1)) + {di} - 1 END)")
+
+
+PAT = r"(?s)\A- ([0-9-]{10}): (.*?)(?: \[×\+?([0-9]+)\])?\z"
+
+
+def parsed(src: str, id_col: str = "entry_id", extra: str = "") -> str:
+    """CTE body: parse `line` of `src` into p_date / p_body / p_count."""
+    return f"""
+SELECT {id_col}, line{extra}, p_d AS p_date,
+       CASE WHEN p_d <> '' THEN (CASE WHEN has_c THEN lazy_body ELSE substr(line, 15) END) END AS p_body,
+       CASE WHEN p_d <> '' THEN (CASE WHEN has_c THEN COALESCE(TRY_CAST(stripped AS BIGINT), 0) ELSE 1 END) END
+         AS p_count
+FROM (
+  SELECT *, digits <> '' AND length(stripped) <= 10
+            AND (stripped = '' OR TRY_CAST(stripped AS BIGINT) <= 4294967295) AS has_c
+  FROM (
+    SELECT *, ltrim(digits, '0') AS stripped
+    FROM (
+      SELECT {id_col}, line{extra},
+             CASE WHEN regexp_matches(line, '{PAT}') THEN regexp_extract(line, '{PAT}', 1) ELSE '' END AS p_d,
+             regexp_extract(line, '{PAT}', 2) AS lazy_body,
+             regexp_extract(line, '{PAT}', 3) AS digits
+      FROM {src})))"""
+
+
+def boost_sql(date_col: str, count_col: str) -> str:
+    day = epoch_day(date_col)
+    return (f"(CASE WHEN {day} IS NULL THEN 1.0 ELSE "
+            f"exp(-CAST(greatest(date_diff('day', DATE '1970-01-01', {AS_OF}) - {day}, 0) AS DOUBLE) "
+            f"/ 365.0 * ln(2.0)) * (1.0 + 0.5 * ln(CAST(greatest({count_col}, 1) AS DOUBLE))) END)")
+
+
+NEW_WRITES = f"""
+new_raw AS (
+  SELECT CAST(1000000000000 + conv_id * 1000 + turn AS BIGINT) AS seq, role AS topic_raw, text AS body_raw
+  FROM conversations
+),
+validated AS (
+  SELECT seq, {norm_topic('topic_raw')} AS topic, regexp_replace(body_raw, '[\\r\\n]+', ' ', 'g') AS body,
+         CASE WHEN topic_raw IS NULL OR {norm_topic('topic_raw')} = '' THEN 'topic name is empty after normalization'
+              WHEN body_raw IS NULL OR {blank('body_raw')} THEN 'entry cannot be empty' END AS reason
+  FROM new_raw
+),
+new_entries AS (
+  SELECT seq AS entry_id, topic, {AS_OF} AS entry_date, body, CAST(1 AS BIGINT) AS reinforce_count,
+         '- ' || strftime({AS_OF}, '%Y-%m-%d') || ': ' || body AS line, seq
+  FROM validated WHERE reason IS NULL
+)"""
+
+FORGET_HIT = ("(topic = 'en' AND starts_with(line, '- ') "
+              "AND contains(lower(line), lower('2024-03-')))")
+
+NOTE_LINES = """
+note_lines AS (
+  SELECT 'doc-' || CAST(doc_id AS VARCHAR) AS topic, CAST(pos - 1 AS BIGINT) AS seq,
+         regexp_replace(line, '\\r$', '') AS line
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+               unnest(generate_series(1, len(string_split(text, chr(10))))) AS pos
+        FROM documents)
+),
+dups AS (
+  SELECT topic, line AS old_line, line || ' [×' || CAST(COUNT(*) AS VARCHAR) || ']' AS new_line
+  FROM note_lines GROUP BY topic, line HAVING COUNT(*) >= 2
+),
+firsts AS (
+  SELECT n.topic, MIN(n.seq) AS seq, min(d.new_line) AS new_line
+  FROM note_lines n JOIN dups d ON n.topic = d.topic AND n.line = d.old_line
+  GROUP BY n.topic, n.line
+)"""
+
+ORACLE.update({
+    "normalize_topic": f"""
+SELECT event_id, {norm_topic('event_type')} AS topic, {norm_topic('props')} AS props_topic FROM events""",
+
+    "tokenize": f"""
+SELECT doc_id, CAST(pos - 1 AS BIGINT) AS pos, token
+FROM (SELECT doc_id, unnest(tk) AS token, unnest(generate_series(1, len(tk))) AS pos
+      FROM (SELECT doc_id, {tokens('text')} AS tk FROM documents))""",
+
+    "parse_entry": with_(ENTRIES, "p AS (" + parsed("entry_lines") + ")") + """
+SELECT entry_id, p_date AS parsed_date, p_body AS parsed_body, p_count AS parsed_count FROM p""",
+
+    "render_entry": with_(ENTRIES) + "\nSELECT entry_id, line FROM entry_lines",
+
+    "entry_epoch_day": f"""
+SELECT event_id, day_str, CAST({epoch_day('day_str')} AS BIGINT) AS epoch_day
+FROM (SELECT event_id, strftime(ts, '%Y-%m-%d') AS day_str FROM events)""",
+
+    "boost": with_(ENTRIES, "p AS (" + parsed("entry_lines") + ")") + f"""
+SELECT entry_id, round({boost_sql('p_date', 'p_count')}, 6) AS boost FROM p""",
+
+    "term_frequencies": with_(ENTRIES, index_ctes()) + "\nSELECT term, entry_id, tf FROM postings",
+
+    "term_idf": with_(ENTRIES, index_ctes()) + """
+SELECT term, df, round(ln((CAST(n_docs AS DOUBLE) - df + 0.5) / (df + 0.5) + 1.0), 6) AS idf
+FROM dfs CROSS JOIN stats""",
+
+    "corpus_stats": with_(ENTRIES, index_ctes()) + """
+SELECT n_docs, total_tokens, round(avg_dl, 6) AS avg_dl FROM stats""",
+
+    "build_index": with_(ENTRIES, index_ctes()) + "\nSELECT term, entry_id, tf FROM postings",
+
+    "refresh_index": with_(ENTRIES, NEW_WRITES, f"""
+snapshot AS (
+  SELECT entry_id, topic, line FROM entry_lines WHERE NOT {FORGET_HIT}
+  UNION ALL SELECT entry_id, topic, line FROM new_entries
+)""", index_ctes("snapshot")) + "\nSELECT term, entry_id, tf FROM postings",
+
+    "read_topic": with_(ENTRIES) + """
+SELECT entry_id, seq, line FROM entry_lines WHERE topic = 'en' AND starts_with(line, '- ')""",
+
+    "topic_counts": with_(ENTRIES) + """
+SELECT topic, CAST(COUNT(*) FILTER (WHERE starts_with(line, '- ')) AS BIGINT) AS n_entries
+FROM entry_lines GROUP BY topic""",
+
+    "forget_removed": with_(ENTRIES) + f"\nSELECT entry_id, topic, line FROM entry_lines WHERE {FORGET_HIT}",
+
+    "forget_kept": with_(ENTRIES) + f"\nSELECT entry_id, topic FROM entry_lines WHERE NOT {FORGET_HIT}",
+
+    "validate_writes": with_(NEW_WRITES) + "\nSELECT seq, topic, reason IS NULL AS accepted, reason FROM validated",
+
+    "append_entries": with_(ENTRIES, NEW_WRITES) + """
+SELECT entry_id, topic, line, seq FROM entry_lines
+UNION ALL SELECT entry_id, topic, line, seq FROM new_entries""",
+
+    "reaffirm_rollup": with_(ENTRIES) + """
+SELECT topic, MIN(seq) AS seq, MAX(entry_date) AS entry_date,
+       CAST(SUM(reinforce_count) AS BIGINT) AS reinforce_count, COUNT(*) AS n_merged,
+       '- ' || strftime(MAX(entry_date), '%Y-%m-%d') || ': ' || body ||
+       CASE WHEN SUM(reinforce_count) > 1 THEN ' [×' || CAST(SUM(reinforce_count) AS VARCHAR) || ']' ELSE '' END
+         AS line
+FROM entries GROUP BY topic, body""",
+
+    "replace_first": with_(NOTE_LINES) + """
+SELECT n.topic, n.seq, COALESCE(f.new_line, n.line) AS line
+FROM note_lines n LEFT JOIN firsts f ON n.topic = f.topic AND n.seq = f.seq""",
+
+    "remove_first": with_(NOTE_LINES) + """
+SELECT n.topic, n.seq, n.line FROM note_lines n ANTI JOIN firsts f ON n.topic = f.topic AND n.seq = f.seq""",
+})
+
+ORACLE["bm25_boosted"] = with_(ENTRIES, QUERIES, index_ctes(), BM25_SCORES, """
+cand AS (
+  SELECT t.query_id, t.entry_id, e.topic, e.line, t.score FROM bm25_top t JOIN entry_lines e USING (entry_id)
+),
+p AS (""" + parsed("cand", "entry_id", ", query_id, topic, score") + """),
+boosted AS (
+  SELECT query_id, entry_id, topic, score * """ + boost_sql("p_date", "p_count") + """ AS score FROM p
+)""") + """
+SELECT query_id, CAST(rank AS BIGINT) AS rank, entry_id, topic, round(score, 6) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, entry_id) AS rank
+      FROM boosted) WHERE rank <= 10"""
