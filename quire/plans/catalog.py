@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from quire.functions.dates import epoch_day
 from quire.functions.scoring import SCORE_DIGITS, boost, idf
 from quire.functions.text import normalize_topic, parse_entry, render_entry, tokenize
-from quire.operators import notes
+from quire.functions.scoring import cosine
+from quire.operators import notes, search, similarity, vectors
+from quire.operators.sizing import bounded_broadcast
 from quire.sources import tables
 
 from quire.functions.dates import as_of_day
@@ -42,6 +44,20 @@ def persisted_index(spark: SparkSession, sf_dir: str, text_col: str = "line") ->
     return ix.read_index(spark, path)
 
 
+_VECTOR_PATHS: dict[tuple[str, str], str] = {}
+
+
+def persisted_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vector table of the entries (hashed line vectors), written once."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    path = _VECTOR_PATHS.get(key)
+    if path is None:
+        path = fresh_path(spark, "vectors")
+        tables.write_table(vectors.embed_entries(fx.entries(spark, sf_dir)), path)
+        _VECTOR_PATHS[key] = path
+    return tables.read_table(spark, path)
+
+
 def _index(spark: SparkSession, sf_dir: str):
     return fx.entries(spark, sf_dir), persisted_index(spark, sf_dir)
 
@@ -189,7 +205,111 @@ def q_remove_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes.remove_first(lines, duplicate_line_requests(lines)).select("topic", "seq", "line")
 
 
+def q_hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.hash_embed_sparse(fx.entries(spark, sf_dir), "line")
+
+
+def q_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    qv = search.query_vectors(fx.search_queries(spark, sf_dir))
+    top = similarity.topk_cosine(persisted_vectors(spark, sf_dir), qv)
+    return top.select("query_id", "rank", "entry_id", "topic",
+                      F.round("sim", SCORE_DIGITS).alias("sim"))
+
+
+def q_cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each embedding against the centroid of its label (F7 over whole table)."""
+    emb = fx.table(spark, sf_dir, "embeddings")
+    cells = emb.select("label", F.posexplode("embedding").alias("i", "x")) \
+        .groupBy("label", "i").agg(F.avg("x").alias("m"))
+    cent = cells.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("c")) \
+        .select("label", F.transform("c", lambda s: s["m"]).alias("centroid"))
+    return emb.join(bounded_broadcast(cent), "label").select(
+        "vec_id", "label", F.round(cosine("embedding", "centroid"), SCORE_DIGITS).alias("cos"))
+
+
+def q_rrf_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ents, index = _index(spark, sf_dir)
+    queries = fx.search_queries(spark, sf_dir)
+    lex = lexical.bm25_candidates(index, queries)
+    vec = similarity.topk_cosine(persisted_vectors(spark, sf_dir), search.query_vectors(queries))
+    fused = search.rrf_merge([lex.select("query_id", "rank", "entry_id"),
+                              vec.select("query_id", "rank", "entry_id")])
+    return fused.select("query_id", "entry_id", F.round("rrf", SCORE_DIGITS).alias("rrf"))
+
+
+def q_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ents, index = _index(spark, sf_dir)
+    return search.hybrid_search(index, ents, persisted_vectors(spark, sf_dir),
+                                fx.search_queries(spark, sf_dir), AS_OF_DAY)
+
+
+def q_search_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``auto`` mode with no vector table: the lexical path runs."""
+    ents, index = _index(spark, sf_dir)
+    return search.search(index, ents, fx.search_queries(spark, sf_dir), AS_OF_DAY,
+                         vectors=None, mode="auto")
+
+
+def _vec_out(v: DataFrame, with_line: bool = False) -> DataFrame:
+    cols = ["entry_id", "topic"] + (["line"] if with_line else [])
+    return v.select(*cols, F.round(vectors.vector_signature("embedding"), SCORE_DIGITS).alias("vec_sig"))
+
+
+def q_vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = persisted_vectors(spark, sf_dir)
+    rolled = notes.reaffirm_rollup(fx.entries(spark, sf_dir)).where("n_merged >= 2") \
+        .select(F.col("seq").alias("entry_id"), "topic", "line")
+    changes = rolled.unionByName(accepted_new_entries(spark, sf_dir).select("entry_id", "topic", "line"))
+    out_path = fresh_path(spark, "vectors")
+    tables.write_table(vectors.upsert(base, vectors.embed_entries(changes)), out_path)
+    return _vec_out(tables.read_table(spark, out_path), with_line=True)
+
+
+def q_vector_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, removed = notes.forget(fx.entries(spark, sf_dir), FORGET_TOPIC, FORGET_SEARCH)
+    out_path = fresh_path(spark, "vectors")
+    tables.write_table(vectors.delete(persisted_vectors(spark, sf_dir), removed), out_path)
+    return _vec_out(tables.read_table(spark, out_path))
+
+
+def q_embed_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    all_entries = fx.entries(spark, sf_dir).select(*ENTRY_COLS).unionByName(
+        accepted_new_entries(spark, sf_dir).select(*ENTRY_COLS))
+    out_path = fresh_path(spark, "vectors")
+    tables.write_table(vectors.backfill(all_entries, persisted_vectors(spark, sf_dir)), out_path)
+    return _vec_out(tables.read_table(spark, out_path))
+
+
+def q_forget_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forget end to end: entries snapshot, index refresh and vector delete,
+    summarised per topic."""
+    ents = fx.entries(spark, sf_dir)
+    kept, removed = notes.forget(ents, FORGET_TOPIC, FORGET_SEARCH)
+    kept_path = tables.write_table(kept.select(*ENTRY_COLS), fresh_path(spark, "entries"), ("topic",))
+    index = ix.write_index(ix.refresh_index(persisted_index(spark, sf_dir), removed,
+                                            kept.limit(0)), fresh_path(spark, "bm25-index"))
+    vec_path = tables.write_table(vectors.delete(persisted_vectors(spark, sf_dir), removed),
+                                  fresh_path(spark, "vectors"))
+    n_ent = tables.read_table(spark, kept_path).groupBy("topic").agg(F.count(F.lit(1)).alias("n_entries"))
+    n_idx = index.docs.groupBy("topic").agg(F.count(F.lit(1)).alias("n_indexed"))
+    n_vec = tables.read_table(spark, vec_path).groupBy("topic").agg(F.count(F.lit(1)).alias("n_vectors"))
+    n_rm = removed.groupBy("topic").agg(F.count(F.lit(1)).alias("n_removed"))
+    return n_ent.join(n_idx, "topic", "full").join(n_vec, "topic", "full").join(n_rm, "topic", "left") \
+        .select("topic", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+                           for c in ("n_entries", "n_indexed", "n_vectors", "n_removed")])
+
+
 QUERIES: dict[str, QueryFn] = {
+    "hash_embed": q_hash_embed,
+    "cosine_topk": q_cosine_topk,
+    "cosine_pairs": q_cosine_pairs,
+    "rrf_merge": q_rrf_merge,
+    "hybrid_search": q_hybrid_search,
+    "search_fallback": q_search_fallback,
+    "vector_upsert": q_vector_upsert,
+    "vector_delete": q_vector_delete,
+    "embed_backfill": q_embed_backfill,
+    "forget_vectors": q_forget_vectors,
     "normalize_topic": q_normalize_topic,
     "tokenize": q_tokenize,
     "parse_entry": q_parse_entry,
@@ -213,4 +333,4 @@ QUERIES: dict[str, QueryFn] = {
     "bm25_topk": q_bm25_topk,
     "bm25_boosted": q_bm25_boosted,
 }
-FLAGSHIP = "bm25_topk"
+FLAGSHIP = "hybrid_search"

@@ -274,3 +274,128 @@ boosted AS (
 SELECT query_id, CAST(rank AS BIGINT) AS rank, entry_id, topic, round(score, 6) AS score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, entry_id) AS rank
       FROM boosted) WHERE rank <= 10"""
+
+
+# --- hashed vectors (64 bins, FNV-style fold reduced modulo 64) ----------------
+HASH_OFFSET = 1469598103934665603
+HASH_PRIME = 1099511628211
+DIM = 64
+
+
+def hash_bin(tok: str, dim: int = DIM) -> str:
+    seed, mult = HASH_OFFSET % dim, HASH_PRIME % dim
+    return (f"list_reduce(list_prepend(CAST({seed} AS BIGINT), list_transform(range(0, octet_length(encode({tok}))), "
+            f"lambda i: CAST(('0x' || substr(hex(encode({tok})), 2*i+1, 2)) AS BIGINT))), "
+            f"lambda h, b: (xor(h, b) * {mult}) % {dim})")
+
+
+def hash_vectors(name: str, src: str, id_col: str, text_col: str, dim: int = DIM) -> str:
+    """CTEs {name}_sparse (id, bin, cnt) and {name} (id, v DOUBLE[dim])."""
+    return f"""
+{name}_sparse AS (
+  SELECT {id_col}, bin, COUNT(*) AS cnt
+  FROM (SELECT {id_col}, {hash_bin('tok', dim)} AS bin
+        FROM (SELECT {id_col}, unnest({tokens(text_col)}) AS tok FROM {src}))
+  GROUP BY {id_col}, bin
+),
+{name} AS (
+  SELECT s.{id_col}, list(CAST(COALESCE(x.cnt, 0) AS DOUBLE) ORDER BY s.i) AS v
+  FROM (SELECT {id_col}, range AS i FROM {src} CROSS JOIN range({dim})) s
+  LEFT JOIN {name}_sparse x ON x.{id_col} = s.{id_col} AND x.bin = s.i
+  GROUP BY s.{id_col}
+)"""
+
+
+def cos(a: str, b: str) -> str:
+    return (f"(CASE WHEN len({a}) = len({b}) AND len({a}) > 0 AND list_dot_product({a}, {a}) > 0 "
+            f"AND list_dot_product({b}, {b}) > 0 THEN list_dot_product({a}, {b}) / "
+            f"(sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b}))) ELSE 0.0 END)")
+
+
+def vec_sig(v: str) -> str:
+    return f"round(list_sum(list_transform({v}, lambda x, i: x * i)), 6)"
+
+
+COS_TOP = """
+cos_top AS (
+  SELECT query_id, entry_id, sim,
+         row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 6) DESC, entry_id) AS rank
+  FROM (SELECT q.query_id, d.entry_id, """ + cos("q.v", "d.v") + """ AS sim FROM qvec q CROSS JOIN evec d)
+  QUALIFY rank <= 20
+)"""
+
+FUSED = """
+fused AS (
+  SELECT query_id, entry_id, SUM(1.0 / (CAST(rank - 1 AS DOUBLE) + 60.0)) AS rrf
+  FROM (SELECT query_id, entry_id, rank FROM bm25_top UNION ALL SELECT query_id, entry_id, rank FROM cos_top)
+  GROUP BY query_id, entry_id
+)"""
+
+_SEARCH = (ENTRIES, QUERIES, index_ctes(), BM25_SCORES,
+           hash_vectors("evec", "entry_lines", "entry_id", "line"),
+           hash_vectors("qvec", "queries", "query_id", "query"), COS_TOP)
+
+ORACLE.update({
+    "hash_embed": with_(ENTRIES, hash_vectors("evec", "entry_lines", "entry_id", "line")) + """
+SELECT entry_id, bin, cnt FROM evec_sparse""",
+
+    "cosine_topk": with_(ENTRIES, QUERIES, hash_vectors("evec", "entry_lines", "entry_id", "line"),
+                         hash_vectors("qvec", "queries", "query_id", "query"), COS_TOP) + """
+SELECT t.query_id, CAST(t.rank AS BIGINT) AS rank, t.entry_id, e.topic, round(t.sim, 6) AS sim
+FROM cos_top t JOIN entry_lines e USING (entry_id)""",
+
+    "cosine_pairs": """
+WITH ex AS (
+  SELECT label, unnest(embedding) AS x, unnest(generate_series(1, len(embedding))) AS i FROM embeddings
+),
+cent AS (
+  SELECT label, list(m ORDER BY i) AS c
+  FROM (SELECT label, i, avg(CAST(x AS DOUBLE)) AS m FROM ex GROUP BY label, i) GROUP BY label
+)
+SELECT e.vec_id, e.label, round(""" + cos("CAST(e.embedding AS DOUBLE[])", "c.c") + """, 6) AS cos
+FROM embeddings e JOIN cent c USING (label)""",
+
+    "rrf_merge": with_(*_SEARCH, FUSED) + """
+SELECT query_id, entry_id, round(rrf, 6) AS rrf FROM fused""",
+
+    "hybrid_search": with_(*_SEARCH, FUSED, """
+cand AS (SELECT f.query_id, f.entry_id, e.topic, e.line, f.rrf AS score FROM fused f JOIN entry_lines e USING (entry_id)),
+p AS (""" + parsed("cand", "entry_id", ", query_id, topic, score") + """),
+boosted AS (SELECT query_id, entry_id, topic, score * """ + boost_sql("p_date", "p_count") + """ AS score FROM p)""") + """
+SELECT query_id, CAST(rank AS BIGINT) AS rank, entry_id, topic, round(score, 6) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, entry_id) AS rank
+      FROM boosted) WHERE rank <= 10""",
+
+    "search_fallback": "SELECT *, 'lexical' AS mode FROM (" + ORACLE["bm25_boosted"] + ")",
+
+    "vector_upsert": with_(ENTRIES, NEW_WRITES, """
+rolled AS (
+  SELECT MIN(seq) AS entry_id, topic,
+         '- ' || strftime(MAX(entry_date), '%Y-%m-%d') || ': ' || body ||
+         CASE WHEN SUM(reinforce_count) > 1 THEN ' [×' || CAST(SUM(reinforce_count) AS VARCHAR) || ']' ELSE '' END
+           AS line
+  FROM entries GROUP BY topic, body HAVING COUNT(*) >= 2
+),
+changes AS (SELECT entry_id, topic, line FROM rolled UNION ALL SELECT entry_id, topic, line FROM new_entries),
+final AS (
+  SELECT entry_id, topic, line FROM entry_lines WHERE entry_id NOT IN (SELECT entry_id FROM changes)
+  UNION ALL SELECT entry_id, topic, line FROM changes
+)""", hash_vectors("fvec", "final", "entry_id", "line")) + f"""
+SELECT f.entry_id, f.topic, f.line, {vec_sig('v.v')} AS vec_sig FROM final f JOIN fvec v USING (entry_id)""",
+
+    "vector_delete": with_(ENTRIES, "kept AS (SELECT * FROM entry_lines WHERE NOT " + FORGET_HIT + ")",
+                           hash_vectors("kvec", "kept", "entry_id", "line")) + f"""
+SELECT k.entry_id, k.topic, {vec_sig('v.v')} AS vec_sig FROM kept k JOIN kvec v USING (entry_id)""",
+
+    "embed_backfill": with_(ENTRIES, NEW_WRITES, """
+allents AS (SELECT entry_id, topic, line FROM entry_lines UNION ALL SELECT entry_id, topic, line FROM new_entries)""",
+                            hash_vectors("avec", "allents", "entry_id", "line")) + f"""
+SELECT a.entry_id, a.topic, {vec_sig('v.v')} AS vec_sig FROM allents a JOIN avec v USING (entry_id)""",
+
+    "forget_vectors": with_(ENTRIES) + f"""
+SELECT topic, CAST(COUNT(*) FILTER (WHERE NOT {FORGET_HIT}) AS BIGINT) AS n_entries,
+       CAST(COUNT(*) FILTER (WHERE NOT {FORGET_HIT}) AS BIGINT) AS n_indexed,
+       CAST(COUNT(*) FILTER (WHERE NOT {FORGET_HIT}) AS BIGINT) AS n_vectors,
+       CAST(COUNT(*) FILTER (WHERE {FORGET_HIT}) AS BIGINT) AS n_removed
+FROM entry_lines GROUP BY topic""",
+})
