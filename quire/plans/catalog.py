@@ -15,7 +15,7 @@ from quire.functions.dates import epoch_day
 from quire.functions.scoring import SCORE_DIGITS, boost, idf
 from quire.functions.text import normalize_topic, parse_entry, render_entry, tokenize
 from quire.functions.scoring import cosine
-from quire.operators import notes, search, similarity, vectors
+from quire.operators import consolidate, notes, search, similarity, vectors
 from quire.operators.sizing import bounded_broadcast
 from quire.sources import tables
 
@@ -299,7 +299,48 @@ def q_forget_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
                            for c in ("n_entries", "n_indexed", "n_vectors", "n_removed")])
 
 
+def _writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.writes_from_entries(fx.entries(spark, sf_dir))
+
+
+def q_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bm = consolidate.best_match(_writes(spark, sf_dir))
+    return bm.select("entry_id", "match_id", F.round("sim", SCORE_DIGITS).alias("sim"))
+
+
+def q_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = consolidate.prepare_writes(_writes(spark, sf_dir))
+    q = vectors.embed_frame(w, "body", ["topic", "seq", "entry_id"])
+    pairs = similarity.near_pairs(q, consolidate.SUPERSEDE_THRESHOLD)
+    return pairs.select("topic", F.col("id_a").alias("entry_a"), F.col("id_b").alias("entry_b"),
+                        F.round("sim", SCORE_DIGITS).alias("sim"))
+
+
+def q_consolidate_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = consolidate.classify(_writes(spark, sf_dir))
+    return c.select("entry_id", "topic", "outcome", "match_id",
+                    F.round("sim", SCORE_DIGITS).alias("sim"), "new_count")
+
+
+def q_tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = _writes(spark, sf_dir)
+    t = consolidate.classify_tombstones(w, consolidate.classify(w))
+    return t.select("logged_on", "topic", "kind", "old_line", "new_line")
+
+
+def q_consolidate_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordered consolidation of every entry replayed as a write (rows-only
+    for the driver; checked against a plain-Python model in tests)."""
+    res = consolidate.fold(_writes(spark, sf_dir))
+    return res.outcomes.select("seq", "entry_id", "topic", "outcome", "match_seq", "new_count")
+
+
 QUERIES: dict[str, QueryFn] = {
+    "best_match": q_best_match,
+    "near_pairs": q_near_pairs,
+    "consolidate_classify": q_consolidate_classify,
+    "tombstones": q_tombstones,
+    "consolidate_fold": q_consolidate_fold,
     "hash_embed": q_hash_embed,
     "cosine_topk": q_cosine_topk,
     "cosine_pairs": q_cosine_pairs,

@@ -399,3 +399,63 @@ SELECT topic, CAST(COUNT(*) FILTER (WHERE NOT {FORGET_HIT}) AS BIGINT) AS n_entr
        CAST(COUNT(*) FILTER (WHERE {FORGET_HIT}) AS BIGINT) AS n_removed
 FROM entry_lines GROUP BY topic""",
 })
+
+
+# --- consolidation (writes = entries replayed in seq order) --------------------
+WRITES = """
+wl AS (SELECT entry_id, seq, topic, entry_date AS written_on, body,
+              '- ' || strftime(entry_date, '%Y-%m-%d') || ': ' || body AS line FROM entries),
+wp AS (""" + parsed("wl", "entry_id", ", seq, topic, written_on, body") + """),
+writes AS (SELECT entry_id, seq, topic, written_on, body, p_body AS cand_body, p_count AS base_count FROM wp)"""
+
+BEST = """
+wpairs AS (
+  SELECT w.entry_id AS id, w.seq, c.entry_id AS match_id, c.seq AS match_seq, """ + cos("wv.v", "cv.v") + """ AS sim
+  FROM writes w JOIN writes c ON w.topic = c.topic AND c.seq < w.seq
+  JOIN bvec wv ON wv.entry_id = w.entry_id JOIN bvec cv ON cv.entry_id = c.entry_id
+),
+best AS (
+  SELECT * FROM wpairs
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(sim, 6) DESC, match_seq) = 1
+),
+cls AS (
+  SELECT w.entry_id, w.topic, w.seq, w.written_on, w.body, w.base_count,
+         CASE WHEN b.sim >= CAST(0.95 AS DOUBLE) THEN 'reaffirm'
+              WHEN b.sim >= CAST(0.85 AS DOUBLE) THEN 'supersede' ELSE 'append' END AS outcome,
+         b.match_id, b.match_seq, b.sim
+  FROM writes w LEFT JOIN best b ON b.id = w.entry_id
+)"""
+
+_CONS = (ENTRIES, WRITES, hash_vectors("bvec", "writes", "entry_id", "body"), BEST)
+
+
+def render(d: str, body: str, cnt: str) -> str:
+    return (f"('- ' || strftime({d}, '%Y-%m-%d') || ': ' || {body} || "
+            f"CASE WHEN {cnt} > 1 THEN ' [×' || CAST({cnt} AS VARCHAR) || ']' ELSE '' END)")
+
+
+ORACLE.update({
+    "best_match": with_(*_CONS) + """
+SELECT id AS entry_id, match_id, round(sim, 6) AS sim FROM best""",
+
+    "near_pairs": with_(ENTRIES, WRITES, hash_vectors("bvec", "writes", "entry_id", "body")) + """
+SELECT a.topic, a.entry_id AS entry_a, b.entry_id AS entry_b, round(""" + cos("av.v", "bv.v") + """, 6) AS sim
+FROM writes a JOIN writes b ON a.topic = b.topic AND a.seq < b.seq
+JOIN bvec av ON av.entry_id = a.entry_id JOIN bvec bv ON bv.entry_id = b.entry_id
+WHERE """ + cos("av.v", "bv.v") + """ >= CAST(0.85 AS DOUBLE)""",
+
+    "consolidate_classify": with_(*_CONS) + """
+SELECT c.entry_id, c.topic, c.outcome,
+       CASE WHEN c.outcome <> 'append' THEN c.match_id END AS match_id,
+       round(CASE WHEN c.outcome <> 'append' THEN c.sim END, 6) AS sim,
+       CAST(CASE WHEN c.outcome = 'reaffirm' THEN m.base_count + 1 ELSE c.base_count END AS BIGINT) AS new_count
+FROM cls c LEFT JOIN writes m ON m.seq = c.match_seq""",
+
+    "tombstones": with_(*_CONS) + """
+SELECT c.written_on AS logged_on, c.topic, c.outcome AS kind,
+       """ + render("m.written_on", "m.cand_body", "m.base_count") + """ AS old_line,
+       CASE WHEN c.outcome = 'reaffirm' THEN """ + render("c.written_on", "m.cand_body", "m.base_count + 1") + """
+            ELSE '- ' || strftime(c.written_on, '%Y-%m-%d') || ': ' || c.body END AS new_line
+FROM cls c JOIN writes m ON m.seq = c.match_seq
+WHERE c.outcome <> 'append'""",
+})
