@@ -17,7 +17,8 @@ from quire.functions.text import normalize_topic, parse_entry, render_entry, tok
 from quire.functions.scoring import cosine
 from quire.operators import consolidate, notes, search, similarity, vectors
 from quire.operators.sizing import bounded_broadcast
-from quire.sources import tables
+from quire.sources import notes_files, tables
+from quire.streaming import writes as streams
 
 from quire.functions.dates import as_of_day
 from quire.operators import index as ix
@@ -335,7 +336,70 @@ def q_consolidate_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return res.outcomes.select("seq", "entry_id", "topic", "outcome", "match_seq", "new_count")
 
 
+def q_export_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = notes_files.export_notes(fx.entries(spark, sf_dir), fresh_path(spark, "notes"))
+    return notes_files.read_notebooks(spark, path).select("topic", "file", "value")
+
+
+def q_scan_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = notes_files.export_notes(fx.entries(spark, sf_dir), fresh_path(spark, "notes"))
+    return notes_files.scan_entries(spark, path, layout="partitioned").select("topic", "line")
+
+
+# Staged feed: the write requests land in a folder as a few files in seq
+# order (one job per seq range), so the stream sees several micro-batches.
+FEED_FILES = 4
+
+
+def stage_feed(raw: DataFrame, path: str, n_files: int = FEED_FILES) -> str:
+    bounds = raw.approxQuantile("seq", [i / n_files for i in range(1, n_files)], 0.0001)
+    edges = [None] + sorted(set(bounds)) + [None]
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        part = raw
+        if lo is not None:
+            part = part.where(F.col("seq") > lo)
+        if hi is not None:
+            part = part.where(F.col("seq") <= hi)
+        part.select(*[c.split()[0] for c in streams.WRITE_SCHEMA.split(", ")]) \
+            .coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def _entry_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.entries(spark, sf_dir).select(
+        "seq", "entry_id", F.col("topic").alias("topic_raw"), F.col("body").alias("body_raw"),
+        F.col("entry_date").alias("written_on"), F.lit(False).alias("force"))
+
+
+def q_stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feed = stage_feed(fx.new_writes(spark, sf_dir), fresh_path(spark, "feed"))
+    out, ck = fresh_path(spark, "stream-entries"), fresh_path(spark, "stream-ckpt")
+    streams.stream_append(streams.read_write_stream(spark, feed, 1), out, ck)
+    return tables.read_table(spark, out).select("entry_id", "topic", "line", "seq")
+
+
+def q_stream_topic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feed = stage_feed(fx.new_writes(spark, sf_dir), fresh_path(spark, "feed"))
+    out, ck = fresh_path(spark, "stream-counts"), fresh_path(spark, "stream-ckpt")
+    streams.stream_topic_counts(streams.read_write_stream(spark, feed, 1), out, ck)
+    last = streams.latest_batch(spark, out)
+    return tables.read_table(spark, f"{out}/batch={last}").select("topic", "n_entries")
+
+
+def q_stream_consolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feed = stage_feed(_entry_feed(spark, sf_dir), fresh_path(spark, "feed"))
+    root, ck = fresh_path(spark, "stream-fold"), fresh_path(spark, "stream-ckpt")
+    streams.stream_consolidate(streams.read_write_stream(spark, feed, 1), root, ck)
+    return tables.read_table(spark, f"{root}/outcomes").select(
+        "seq", "entry_id", "topic", "outcome", "match_seq", "new_count")
+
+
 QUERIES: dict[str, QueryFn] = {
+    "export_notes": q_export_notes,
+    "scan_entries": q_scan_entries,
+    "stream_append": q_stream_append,
+    "stream_topic_counts": q_stream_topic_counts,
+    "stream_consolidate": q_stream_consolidate,
     "best_match": q_best_match,
     "near_pairs": q_near_pairs,
     "consolidate_classify": q_consolidate_classify,
