@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.functions.hashing import DEFAULT_DIM, check_dim, token_bin
+from quire.functions.hashing import DEFAULT_DIM, check_dim, hash_params, token_bin
 from quire.functions.text import tokenize
 
 Embedder = Callable[[Column], Column]
@@ -40,21 +40,53 @@ def bincount_rows(bins: pd.Series, dim: int) -> pd.Series:
     return pd.Series(list(counts.astype(np.float32)), index=bins.index)
 
 
+def _bins_of_tokens(tokens: pd.Series, dim: int, cache: dict) -> pd.Series:
+    """Series of token arrays -> Series of bin arrays. Each distinct token
+    of the batch is hashed once (and remembered by the worker)."""
+    lens = np.fromiter((0 if t is None else len(t) for t in tokens), dtype=np.int64, count=len(tokens))
+    if lens.sum() == 0:
+        return pd.Series([np.zeros(0, dtype=np.int64)] * len(tokens), index=tokens.index)
+    flat = np.concatenate([np.asarray(t, dtype=object) for t in tokens if t is not None and len(t)])
+    uniq, inv = np.unique(flat, return_inverse=True)
+    seed, mult = hash_params(dim)
+    mask = dim - 1
+    ub = np.empty(len(uniq), dtype=np.int64)
+    for i, tok in enumerate(uniq):
+        b = cache.get(tok)
+        if b is None:
+            h = seed
+            for byte in tok.encode("utf-8"):
+                h = ((h ^ byte) * mult) & mask
+            b = cache[tok] = h
+        ub[i] = b
+    bins = ub[inv]
+    return pd.Series(np.split(bins, np.cumsum(lens)[:-1]), index=tokens.index)
+
+
+_TOKEN_CACHE: dict[int, dict] = {}
+_CACHE_LIMIT = 2_000_000
+
+
 def hash_embed_frame(df: DataFrame, text_col: str, keep: list[str], dim: int = DEFAULT_DIM,
                      out_col: str = "embedding") -> DataFrame:
     """``keep`` columns plus a dense hashed vector of ``text_col``.
 
-    Tokens are hashed JVM-side (a projection); the per-batch bin counting
-    runs in ``mapInPandas`` on Arrow batches. Narrow: no shuffle.
+    Tokenizing runs JVM-side (a projection); in ``mapInPandas`` each Arrow
+    batch hashes its distinct tokens once and counts bins with one numpy
+    bincount. Narrow: no shuffle. ``token_bin`` is the same hash as a
+    column expression (used for sparse rows and checked equal in tests).
     """
     check_dim(dim)
-    staged = df.select(*keep, token_bins(text_col, dim).alias("_bins"))
+    staged = df.select(*keep, tokenize(text_col).alias("_toks"))
     fields = [f for f in staged.schema.fields if f.name in keep]
     schema = T.StructType(fields + [T.StructField(out_col, T.ArrayType(T.FloatType()))])
 
     def fn(batches):
+        cache = _TOKEN_CACHE.setdefault(dim, {})
         for pdf in batches:
-            pdf[out_col] = bincount_rows(pdf["_bins"], dim)
+            if len(cache) > _CACHE_LIMIT:
+                cache.clear()
+            pdf[out_col] = bincount_rows(_bins_of_tokens(pdf["_toks"], dim, cache), dim)
             yield pdf[keep + [out_col]]
 
     return staged.mapInPandas(fn, schema)

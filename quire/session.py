@@ -3,9 +3,11 @@ work folder used for written tables and checkpoints."""
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,9 +35,45 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     work_root(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``quire`` importable in the Python workers (pandas UDFs,
+    ``mapInPandas`` and ``applyInPandas`` functions live in it).
+
+    The package is zipped into the shared work folder and added with
+    ``addPyFile``, once per application. On a cluster whose work folder is
+    not a local path, ship the package with ``--py-files`` instead.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    root = work_root(spark)
+    local = root[len("file:"):] if root.startswith("file:") else root if root.startswith("/") else None
+    if local is None:
+        _SHIPPED.add(app)
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    files = sorted(os.path.join(d, f) for d, _, fs in os.walk(pkg) for f in fs if f.endswith(".py"))
+    digest = hashlib.sha1(b"".join(open(f, "rb").read() for f in files)).hexdigest()[:12]
+    os.makedirs(local, exist_ok=True)
+    target = os.path.join(local, f"quire-code-{digest}.zip")
+    if not os.path.exists(target):
+        tmp = target + f".{uuid.uuid4().hex[:6]}.part"
+        with zipfile.ZipFile(tmp, "w") as z:
+            for f in files:
+                z.write(f, os.path.relpath(f, os.path.dirname(pkg)))
+        os.replace(tmp, target)
+    sc.addPyFile(target)
+    _SHIPPED.add(app)
+
+
 def work_root(spark: SparkSession) -> str:
     """The shared folder for written tables and checkpoints.
 
@@ -59,8 +97,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{work_root(spark)}/quire/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (never a
-    local checkpoint: executors may be lost)."""
-    work_root(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Materialise ``df`` as a Parquet table in the shared checkpoint folder
+    and read it back: the plan runs once, the lineage is cut, and a lost
+    executor re-reads files instead of recomputing (never a local
+    checkpoint). ``Dataset.checkpoint`` would run an uncached plan twice."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

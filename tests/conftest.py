@@ -23,8 +23,9 @@ def spark():
          .config("spark.driver.memory", "8g")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
-    from quire.session import work_root
+    from quire.session import ship_package, work_root
     work_root(s)
+    ship_package(s)
     yield s
 
 
