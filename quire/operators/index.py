@@ -3,7 +3,11 @@
 postings   (term, entry_id, tf, dl)      one row per distinct term of an entry;
                                          ``dl`` is carried so scoring needs no
                                          join back to the documents
-docs       (entry_id, topic, dl)         every entry, token-less ones included
+docs       (entry_id, topic, dl, line)   every entry, token-less ones included;
+                                         the indexed text is kept, as the
+                                         reference's index keeps it, so a
+                                         search can render and boost its
+                                         hits without the entries table
 term_stats (term, df)                    posting-list lengths
 stats      (n_docs, total_tokens, avg_dl) one row
 
@@ -56,8 +60,8 @@ def term_frequencies(entries: DataFrame, text_col: str = "line") -> DataFrame:
 
 
 def doc_stats(entries: DataFrame, text_col: str = "line") -> DataFrame:
-    return doc_tokens(entries, text_col).select(
-        "entry_id", "topic", F.size("tokens").cast("bigint").alias("dl"))
+    return entries.select("entry_id", "topic", F.size(tokenize(text_col)).cast("bigint").alias("dl"),
+                          F.col(text_col).alias("line"))
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
@@ -116,5 +120,5 @@ def refresh_index(index: Bm25Index, removed_ids: DataFrame, added_entries: DataF
     new = build_index(added_entries, text_col)
     return Bm25Index(
         kept_post.select("term", "entry_id", "tf", "dl").unionByName(new.postings),
-        kept_docs.select("entry_id", "topic", "dl").unionByName(new.docs),
+        kept_docs.select("entry_id", "topic", "dl", "line").unionByName(new.docs),
     )

@@ -19,7 +19,7 @@ from quire.functions.scoring import (
 )
 from quire.functions.text import tokenize
 from quire.operators.index import Bm25Index
-from quire.operators.sizing import BROADCAST_MAX_ROWS, bounded_broadcast, row_count_at_most
+from quire.operators.sizing import BROADCAST_MAX_ROWS
 
 # Up to this many distinct query terms are also pushed into the postings
 # scan as an IN filter, so parquet min/max statistics skip row groups.
@@ -54,8 +54,21 @@ def ranked(df: DataFrame, score_col: str, k: int, partition_col: str = "query_id
         .withColumn(rank_col, F.col(rank_col).cast("bigint"))
 
 
+def query_term_stats(qt: DataFrame) -> tuple[int, int, list[str] | None]:
+    """(rows, queries, terms-or-None) of a query-term table in one job,
+    plus one bounded collect of the distinct terms when they are few."""
+    st = qt.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("query_id").alias("q"),
+                F.countDistinct("term").alias("t")).first()
+    terms = None
+    if st.t <= PUSHDOWN_MAX_TERMS:
+        # Bounded: at most PUSHDOWN_MAX_TERMS short strings reach the driver.
+        terms = [r.term for r in qt.select("term").distinct().collect()]
+    return int(st.n), int(st.q), terms
+
+
 def bm25_scores(index: Bm25Index, queries: DataFrame, k1: float = BM25_K1,
-                b: float = BM25_B, text_col: str = "query") -> DataFrame:
+                b: float = BM25_B, text_col: str = "query",
+                _stats: tuple[int, int, list[str] | None] | None = None) -> DataFrame:
     """(entry_id, query_id, score) for every entry sharing a term with the query.
 
     score = sum over query-term occurrences of idf(term) * tfn(entry, term),
@@ -65,16 +78,13 @@ def bm25_scores(index: Bm25Index, queries: DataFrame, k1: float = BM25_K1,
     """
     spark = queries.sparkSession
     qt = query_terms(queries, text_col)
+    n_rows, _, terms = _stats or query_term_stats(qt)
     postings = index.postings
-    distinct_terms = qt.select("term").distinct()
-    if row_count_at_most(distinct_terms, PUSHDOWN_MAX_TERMS):
-        # Bounded: at most PUSHDOWN_MAX_TERMS short strings reach the driver.
-        terms = [r.term for r in distinct_terms.collect()]
+    if terms is not None:
         postings = postings.where(in_list("term", terms))
     else:
-        postings = postings.join(F.broadcast(distinct_terms), "term", "left_semi") \
-            if row_count_at_most(distinct_terms, BROADCAST_MAX_ROWS) \
-            else postings.join(distinct_terms, "term", "left_semi")
+        distinct_terms = qt.select("term").distinct()
+        postings = postings.join(distinct_terms, "term", "left_semi")
     stats = index.stats
     n_docs = stats.select("n_docs").scalar()
     avg_dl = stats.select("avg_dl").scalar()
@@ -90,7 +100,8 @@ def bm25_scores(index: Bm25Index, queries: DataFrame, k1: float = BM25_K1,
     # The shuffle carries postings, not queries-times-postings rows.
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     weighted = postings.select("term", "entry_id", tfn.alias("tfn")).repartition(n_parts, "entry_id")
-    contrib = weighted.join(bounded_broadcast(qw), "term") \
+    qw_side = F.broadcast(qw) if n_rows <= BROADCAST_MAX_ROWS else qw
+    contrib = weighted.join(qw_side, "term") \
         .select("entry_id", "query_id", (F.col("qw") * F.col("tfn")).alias("w"))
     return contrib.groupBy("entry_id", "query_id").agg(F.sum("w").alias("score"))
 
@@ -100,7 +111,7 @@ def with_doc_info(top: DataFrame, index_docs: DataFrame, entries: DataFrame | No
     """Attach topic (and line) to a top-k table. ``top`` holds at most
     ``top_rows_bound`` rows (queries x k, known before running it), so it is
     the side broadcast when that bound is small; the corpus never is."""
-    info = index_docs.select("entry_id", "topic")
+    info = index_docs.select("entry_id", "topic", "line")
     if entries is not None:
         info = entries.select("entry_id", "topic", "line")
     side = F.broadcast(top) if top_rows_bound <= BROADCAST_MAX_ROWS else top
@@ -110,23 +121,22 @@ def with_doc_info(top: DataFrame, index_docs: DataFrame, entries: DataFrame | No
 def bm25_candidates(index: Bm25Index, queries: DataFrame, k: int = CANDIDATE_DEPTH,
                     entries: DataFrame | None = None, text_col: str = "query") -> DataFrame:
     """Top ``k`` per query with the unrounded score (for further scoring)."""
-    top = ranked(bm25_scores(index, queries, text_col=text_col), "score", k)
-    bound = queries.select("query_id").distinct().count() * k
-    return with_doc_info(top, index.docs, entries, bound)
+    st = query_term_stats(query_terms(queries, text_col))
+    top = ranked(bm25_scores(index, queries, text_col=text_col, _stats=st), "score", k)
+    # only queries with at least one term produce rows: queries x k bounds it
+    return with_doc_info(top, index.docs, entries, st[1] * k)
 
 
 def bm25_topk(index: Bm25Index, queries: DataFrame, k: int = CANDIDATE_DEPTH,
               entries: DataFrame | None = None, text_col: str = "query") -> DataFrame:
-    """(query_id, rank, entry_id, topic, score[, line]) — top ``k`` per query.
+    """(query_id, rank, entry_id, topic, score, line) — top ``k`` per query.
     Queries with no token or no matching term yield no rows."""
     out = bm25_candidates(index, queries, k, entries, text_col)
-    cols = ["query_id", "rank", "entry_id", "topic", F.round("score", SCORE_DIGITS).alias("score")]
-    if entries is not None:
-        cols.append("line")
-    return out.select(*cols)
+    return out.select("query_id", "rank", "entry_id", "topic",
+                      F.round("score", SCORE_DIGITS).alias("score"), "line")
 
 
-def bm25_boosted(index: Bm25Index, entries: DataFrame, queries: DataFrame, as_of_epoch_day: int,
+def bm25_boosted(index: Bm25Index, entries: DataFrame | None, queries: DataFrame, as_of_epoch_day: int,
                  limit: int = DEFAULT_LIMIT, candidates: int = CANDIDATE_DEPTH) -> DataFrame:
     """Lexical path of ``search``: top ``candidates`` by BM25, each score times
     the line's recency x reinforcement boost, re-ranked, first ``limit`` kept.

@@ -37,7 +37,7 @@ def query_vectors(queries: DataFrame, embed: Embedder | None = None, text_col: s
     return embed_frame(queries, text_col, ["query_id"], embed, dim)
 
 
-def hybrid_search(index: Bm25Index, entries: DataFrame, vectors: DataFrame, queries: DataFrame,
+def hybrid_search(index: Bm25Index, entries: DataFrame | None, vectors: DataFrame, queries: DataFrame,
                   as_of_epoch_day: int, limit: int = DEFAULT_LIMIT,
                   candidates: int = CANDIDATE_DEPTH, embed: Embedder | None = None,
                   dim: int = 64) -> DataFrame:
@@ -51,7 +51,7 @@ def hybrid_search(index: Bm25Index, entries: DataFrame, vectors: DataFrame, quer
                        vec.select("query_id", "rank", "entry_id")])
     # The fused list holds at most queries x 2 x candidates rows: attach the
     # line (for the boost) by broadcasting it, never the entries table.
-    bound = queries.select("query_id").distinct().count() * 2 * candidates
+    bound = 2 * queries.select("query_id").distinct().count() * candidates
     with_line = lexical.with_doc_info(fused, index.docs, entries, bound)
     scored = with_line.select("query_id", "entry_id", "topic",
                               (F.col("rrf") * boost("line", as_of_epoch_day)).alias("score"))
@@ -59,7 +59,7 @@ def hybrid_search(index: Bm25Index, entries: DataFrame, vectors: DataFrame, quer
         "query_id", "rank", "entry_id", "topic", F.round("score", SCORE_DIGITS).alias("score"))
 
 
-def search(index: Bm25Index, entries: DataFrame, queries: DataFrame, as_of_epoch_day: int,
+def search(index: Bm25Index, entries: DataFrame | None, queries: DataFrame, as_of_epoch_day: int,
            vectors: DataFrame | None = None, mode: str = "auto", limit: int = DEFAULT_LIMIT,
            candidates: int = CANDIDATE_DEPTH, embed: Embedder | None = None,
            dim: int = 64) -> DataFrame:

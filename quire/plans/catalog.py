@@ -59,18 +59,14 @@ def persisted_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_table(spark, path)
 
 
-def _index(spark: SparkSession, sf_dir: str):
-    return fx.entries(spark, sf_dir), persisted_index(spark, sf_dir)
-
-
 def q_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ents, index = _index(spark, sf_dir)
-    return lexical.bm25_topk(index, fx.search_queries(spark, sf_dir))
+    index = persisted_index(spark, sf_dir)
+    return lexical.bm25_topk(index, fx.search_queries(spark, sf_dir)).drop("line")
 
 
 def q_bm25_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ents, index = _index(spark, sf_dir)
-    return lexical.bm25_boosted(index, ents, fx.search_queries(spark, sf_dir), AS_OF_DAY)
+    index = persisted_index(spark, sf_dir)
+    return lexical.bm25_boosted(index, None, fx.search_queries(spark, sf_dir), AS_OF_DAY)
 
 
 # --- query parameters (a user's arguments) ----------------------------------
@@ -229,7 +225,7 @@ def q_cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_rrf_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ents, index = _index(spark, sf_dir)
+    index = persisted_index(spark, sf_dir)
     queries = fx.search_queries(spark, sf_dir)
     lex = lexical.bm25_candidates(index, queries)
     vec = similarity.topk_cosine(persisted_vectors(spark, sf_dir), search.query_vectors(queries))
@@ -239,15 +235,15 @@ def q_rrf_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ents, index = _index(spark, sf_dir)
-    return search.hybrid_search(index, ents, persisted_vectors(spark, sf_dir),
+    index = persisted_index(spark, sf_dir)
+    return search.hybrid_search(index, None, persisted_vectors(spark, sf_dir),
                                 fx.search_queries(spark, sf_dir), AS_OF_DAY)
 
 
 def q_search_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``auto`` mode with no vector table: the lexical path runs."""
-    ents, index = _index(spark, sf_dir)
-    return search.search(index, ents, fx.search_queries(spark, sf_dir), AS_OF_DAY,
+    index = persisted_index(spark, sf_dir)
+    return search.search(index, None, fx.search_queries(spark, sf_dir), AS_OF_DAY,
                          vectors=None, mode="auto")
 
 
