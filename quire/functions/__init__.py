@@ -8,7 +8,7 @@ from quire.functions.scoring import (
 )
 from quire.functions.text import (
     contains_ci, flatten_newlines, is_entry_line, normalize_topic, parse_entry,
-    render_entry, render_entry_str, tokenize,
+    render_entry, render_entry_str, tokenize, vector_key,
 )
 
 __all__ = [
@@ -16,5 +16,5 @@ __all__ = [
     "BM25_B", "BM25_K1", "CANDIDATE_DEPTH", "DEFAULT_LIMIT", "REAFFIRM_THRESHOLD", "RRF_K",
     "SCORE_DIGITS", "SUPERSEDE_THRESHOLD", "bm25_weight", "boost", "cosine", "idf", "rounded", "rrf",
     "contains_ci", "flatten_newlines", "is_entry_line", "normalize_topic", "parse_entry",
-    "render_entry", "render_entry_str", "tokenize",
+    "render_entry", "render_entry_str", "tokenize", "vector_key",
 ]

@@ -98,6 +98,12 @@ def render_entry(date: Column | str, body: Column | str, count: Column | str) ->
     return render_entry_str(F.date_format(_col(date), "yyyy-MM-dd"), body, count)
 
 
+def vector_key(topic: Column | str, line: Column | str) -> Column:
+    """The reference's vector identity ``topic::line`` (F11). Vector tables
+    here are keyed by ``entry_id``; this key is kept for interchange."""
+    return F.concat_ws("::", _col(topic), _col(line))
+
+
 def contains_ci(text: Column | str, needle: str) -> Column:
     """Case-insensitive literal substring test (never a regex or LIKE)."""
     return F.contains(F.lower(_col(text)), F.lower(F.lit(needle)))

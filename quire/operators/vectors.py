@@ -101,6 +101,23 @@ def hash_embed_sparse(df: DataFrame, text_col: str, id_col: str = "entry_id",
             .groupBy(id_col, "bin").agg(F.count(F.lit(1)).alias("cnt")))
 
 
+def model_embedder(load_model: Callable[[], Callable[[list[str]], np.ndarray]],
+                   dim: int) -> Embedder:
+    """U1/U2: wrap a user model as an embedder. ``load_model`` runs once per
+    Python worker (iterator-form pandas UDF) and returns a function mapping
+    a list of texts to an (n, dim) array; texts arrive in Arrow batches."""
+    from collections.abc import Iterator
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load_model()
+        for texts in batches:
+            out = np.asarray(model(texts.fillna("").tolist()), dtype=np.float32).reshape(len(texts), dim)
+            yield pd.Series(list(out), index=texts.index)
+
+    return lambda col: embed(col)
+
+
 def embed_frame(df: DataFrame, text_col: str, keep: list[str], embed: Embedder | None = None,
                 dim: int = DEFAULT_DIM, out_col: str = "embedding") -> DataFrame:
     """``keep`` + an embedding of ``text_col``: the user's embedder (a

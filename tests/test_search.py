@@ -107,3 +107,17 @@ def test_hybrid_and_modes(spark):
     assert vec.count() == 6
     with pytest.raises(ValueError):
         search.search(idx, e, q, day, vectors=None, mode="hybrid")
+
+
+def test_user_embedder_loaded_once_per_worker(spark):
+    import numpy as np
+
+    def load():
+        def model(texts):
+            return np.array([[len(t), t.count("a"), 1.0] for t in texts])
+        return model
+
+    emb = vectors.model_embedder(load, 3)
+    e = entries_df(spark, [(1, "t", "aaa"), (2, "t", "bbbb"), (3, "t", "ab")])
+    got = {r.entry_id: list(r.embedding) for r in vectors.embed_entries(e, embed=emb).collect()}
+    assert got[1] == [3.0, 3.0, 1.0] and got[2] == [4.0, 0.0, 1.0]
