@@ -94,11 +94,13 @@ def bm25_scores(index: Bm25Index, queries: DataFrame, k1: float = BM25_K1,
     qw = qt.join(term_idf, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("qw"))
     tfn = (F.col("tf").cast("double") * (k1 + 1.0)) / (
         F.col("tf").cast("double") + k1 * (1.0 - b + b * F.col("dl").cast("double") / avg_dl))
-    # Hash-partition the postings by entry (explicit count, so AQE keeps the
-    # parallelism of this CPU-heavy stage): the broadcast join keeps that
+    # Hash-partition the postings by entry (explicit count of at least two
+    # tasks per core, so AQE keeps the parallelism of this CPU-heavy stage
+    # and each task's aggregation map stays small): the broadcast join keeps that
     # partitioning and the per-(entry, query) sum needs no second shuffle.
     # The shuffle carries postings, not queries-times-postings rows.
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                  2 * spark.sparkContext.defaultParallelism)
     weighted = postings.select("term", "entry_id", tfn.alias("tfn")).repartition(n_parts, "entry_id")
     qw_side = F.broadcast(qw) if n_rows <= BROADCAST_MAX_ROWS else qw
     contrib = weighted.join(qw_side, "term") \

@@ -45,13 +45,14 @@ def hybrid_search(index: Bm25Index, entries: DataFrame | None, vectors: DataFram
     if limit < 0:
         raise ValueError("limit must be a non-negative integer")
     lex = lexical.bm25_candidates(index, queries, candidates)
+    qstats: dict = {}
     vec = similarity.topk_cosine(vectors, query_vectors(queries, embed, dim=dim), candidates,
-                                 keep=("topic",))
+                                 keep=("topic",), stats=qstats)
     fused = rrf_merge([lex.select("query_id", "rank", "entry_id"),
                        vec.select("query_id", "rank", "entry_id")])
     # The fused list holds at most queries x 2 x candidates rows: attach the
     # line (for the boost) by broadcasting it, never the entries table.
-    bound = 2 * queries.select("query_id").distinct().count() * candidates
+    bound = 2 * qstats["n_queries"] * candidates
     with_line = lexical.with_doc_info(fused, index.docs, entries, bound)
     scored = with_line.select("query_id", "entry_id", "topic",
                               (F.col("rrf") * boost("line", as_of_epoch_day)).alias("score"))
