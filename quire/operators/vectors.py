@@ -9,7 +9,7 @@ bin counting).
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -106,8 +106,6 @@ def model_embedder(load_model: Callable[[], Callable[[list[str]], np.ndarray]],
     """U1/U2: wrap a user model as an embedder. ``load_model`` runs once per
     Python worker (iterator-form pandas UDF) and returns a function mapping
     a list of texts to an (n, dim) array; texts arrive in Arrow batches."""
-    from collections.abc import Iterator
-
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load_model()

@@ -121,3 +121,13 @@ def test_user_embedder_loaded_once_per_worker(spark):
     e = entries_df(spark, [(1, "t", "aaa"), (2, "t", "bbbb"), (3, "t", "ab")])
     got = {r.entry_id: list(r.embedding) for r in vectors.embed_entries(e, embed=emb).collect()}
     assert got[1] == [3.0, 3.0, 1.0] and got[2] == [4.0, 0.0, 1.0]
+
+
+def test_cosine_topk_blocked_path_equals_broadcast(spark, monkeypatch):
+    e = entries_df(spark, [(i, "t", f"- 2026-01-01: tok{i % 7} tok{i % 5} shared {i}") for i in range(80)])
+    v = vectors.embed_entries(e)
+    q = search.query_vectors(queries_df(spark, [(i, f"tok{i % 7} shared tok{i % 3}") for i in range(12)]))
+    want = sorted(map(tuple, similarity.topk_cosine(v, q, 5).select("query_id", "rank", "entry_id").collect()))
+    monkeypatch.setattr(similarity, "MAX_QUERY_CELLS", 64 * 4)  # 12 queries no longer fit
+    got = sorted(map(tuple, similarity.topk_cosine(v, q, 5).select("query_id", "rank", "entry_id").collect()))
+    assert got == want and len(got) == 60
