@@ -79,7 +79,7 @@ def latest_batch(spark: SparkSession, root: str, before: int | None = None) -> i
 
 
 def stream_consolidate(writes: DataFrame, root: str, checkpoint: str,
-                       seed_path: str | None = None, group_by: str = "topic", **fold_args) -> None:
+                       seed_path: str | None = None, group_by: str = "component", **fold_args) -> None:
     """Fold each micro-batch against the live table. Output folders under
     ``root``: ``live/batch=<id>``, ``outcomes/batch=<id>``,
     ``tombstones/batch=<id>``."""
