@@ -121,10 +121,14 @@ def with_doc_info(top: DataFrame, index_docs: DataFrame, entries: DataFrame | No
 
 
 def bm25_candidates(index: Bm25Index, queries: DataFrame, k: int = CANDIDATE_DEPTH,
-                    entries: DataFrame | None = None, text_col: str = "query") -> DataFrame:
-    """Top ``k`` per query with the unrounded score (for further scoring)."""
+                    entries: DataFrame | None = None, text_col: str = "query",
+                    with_info: bool = True) -> DataFrame:
+    """Top ``k`` per query with the unrounded score (for further scoring);
+    ``with_info=False`` skips attaching topic and line (ids and ranks only)."""
     st = query_term_stats(query_terms(queries, text_col))
     top = ranked(bm25_scores(index, queries, text_col=text_col, _stats=st), "score", k)
+    if not with_info:
+        return top
     # only queries with at least one term produce rows: queries x k bounds it
     return with_doc_info(top, index.docs, entries, st[1] * k)
 

@@ -44,7 +44,7 @@ def hybrid_search(index: Bm25Index, entries: DataFrame | None, vectors: DataFram
     """(query_id, rank, entry_id, topic, score): fused, boosted, top ``limit``."""
     if limit < 0:
         raise ValueError("limit must be a non-negative integer")
-    lex = lexical.bm25_candidates(index, queries, candidates)
+    lex = lexical.bm25_candidates(index, queries, candidates, with_info=False)
     qstats: dict = {}
     vec = similarity.topk_cosine(vectors, query_vectors(queries, embed, dim=dim), candidates,
                                  keep=("topic",), stats=qstats)

@@ -227,7 +227,7 @@ def q_cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_rrf_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = persisted_index(spark, sf_dir)
     queries = fx.search_queries(spark, sf_dir)
-    lex = lexical.bm25_candidates(index, queries)
+    lex = lexical.bm25_candidates(index, queries, with_info=False)
     vec = similarity.topk_cosine(persisted_vectors(spark, sf_dir), search.query_vectors(queries))
     fused = search.rrf_merge([lex.select("query_id", "rank", "entry_id"),
                               vec.select("query_id", "rank", "entry_id")])
