@@ -23,7 +23,7 @@ from quire.streaming import writes as streams
 from quire.functions.dates import as_of_day
 from quire.operators import index as ix
 from quire.operators import lexical
-from quire.session import fresh_path
+from quire.session import cut_lineage, fresh_path
 from quire.sources import fixtures as fx
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -307,7 +307,7 @@ def q_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = consolidate.prepare_writes(_writes(spark, sf_dir))
-    q = vectors.embed_frame(w, "body", ["topic", "seq", "entry_id"])
+    q = cut_lineage(vectors.embed_frame(w, "body", ["topic", "seq", "entry_id"]), "vectors")
     pairs = similarity.near_pairs(q, consolidate.SUPERSEDE_THRESHOLD)
     return pairs.select("topic", F.col("id_a").alias("entry_a"), F.col("id_b").alias("entry_b"),
                         F.round("sim", SCORE_DIGITS).alias("sim"))
