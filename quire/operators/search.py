@@ -17,6 +17,7 @@ from quire.functions.scoring import CANDIDATE_DEPTH, DEFAULT_LIMIT, RRF_K, SCORE
 from quire.operators import lexical, similarity
 from quire.operators.index import Bm25Index
 from quire.operators.vectors import Embedder, embed_frame
+from quire.session import cut_lineage
 
 MODES = ("auto", "lexical", "vector", "hybrid")
 
@@ -48,8 +49,12 @@ def hybrid_search(index: Bm25Index, entries: DataFrame | None, vectors: DataFram
     qstats: dict = {}
     vec = similarity.topk_cosine(vectors, query_vectors(queries, embed, dim=dim), candidates,
                                  keep=("topic",), stats=qstats)
-    fused = rrf_merge([lex.select("query_id", "rank", "entry_id"),
-                       vec.select("query_id", "rank", "entry_id")])
+    # The two candidate lists are small (queries x candidates rows each):
+    # write them once, so fusion, boost and ranking are planned over two
+    # small scans instead of re-analysing the whole search plan per step.
+    lex = cut_lineage(lex.select("query_id", "rank", "entry_id"), "lexical-candidates")
+    vec = cut_lineage(vec.select("query_id", "rank", "entry_id"), "vector-candidates")
+    fused = rrf_merge([lex, vec])
     # The fused list holds at most queries x 2 x candidates rows: attach the
     # line (for the boost) by broadcasting it, never the entries table.
     bound = 2 * qstats["n_queries"] * candidates
