@@ -1,7 +1,7 @@
 """Column functions (all JVM-side expressions)."""
 
 from quire.functions.dates import as_of_day, epoch_day
-from quire.functions.hashing import DEFAULT_DIM, dense_from_bins, token_bin
+from quire.functions.hashing import DEFAULT_DIM, token_bin
 from quire.functions.scoring import (
     BM25_B, BM25_K1, CANDIDATE_DEPTH, DEFAULT_LIMIT, REAFFIRM_THRESHOLD, RRF_K,
     SCORE_DIGITS, SUPERSEDE_THRESHOLD, bm25_weight, boost, cosine, idf, rounded, rrf,
@@ -12,7 +12,7 @@ from quire.functions.text import (
 )
 
 __all__ = [
-    "as_of_day", "epoch_day", "DEFAULT_DIM", "dense_from_bins", "token_bin",
+    "as_of_day", "epoch_day", "DEFAULT_DIM", "token_bin",
     "BM25_B", "BM25_K1", "CANDIDATE_DEPTH", "DEFAULT_LIMIT", "REAFFIRM_THRESHOLD", "RRF_K",
     "SCORE_DIGITS", "SUPERSEDE_THRESHOLD", "bm25_weight", "boost", "cosine", "idf", "rounded", "rrf",
     "contains_ci", "flatten_newlines", "is_entry_line", "normalize_topic", "parse_entry",

@@ -44,11 +44,3 @@ def token_bin(token: Column | str, dim: int = DEFAULT_DIM) -> Column:
         return (h.bitwiseXOR(byte) * F.lit(mult)) % F.lit(dim)
 
     return F.aggregate(F.sequence(F.lit(0), n_bytes - 1), F.lit(seed).cast("bigint"), step)
-
-
-def dense_from_bins(bins: Column | str, dim: int = DEFAULT_DIM) -> Column:
-    """ARRAY<STRUCT<bin, cnt>> -> dense ARRAY<FLOAT> of length ``dim``."""
-    b = F.col(bins) if isinstance(bins, str) else bins
-    m = F.map_from_entries(b)
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                       lambda i: F.coalesce(F.element_at(m, i.cast("bigint")), F.lit(0)).cast("float"))

@@ -18,7 +18,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions.text import flatten_newlines, normalize_topic, render_entry
+from quire.functions.text import flatten_newlines, render_entry
 
 # --- fixture parameters -----------------------------------------------------
 AS_OF = _dt.date(2026, 1, 1)
@@ -107,7 +107,3 @@ def note_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.posexplode(F.split(F.col("text"), "\n")).alias("seq", "line"),
     ).select("topic", F.col("seq").cast("bigint").alias("seq"),
              F.regexp_replace("line", "\r$", "").alias("line"))
-
-
-def topic_of(raw) -> F.Column:
-    return normalize_topic(raw)
