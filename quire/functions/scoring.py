@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quire.functions.dates import epoch_day
-from quire.functions.text import parse_entry
+from quire.functions.text import entry_count, entry_date_part
 
 # --- fixed values (must equal the reference's behaviour) -------------------
 BM25_K1 = 1.2
@@ -53,11 +53,12 @@ def boost(line: Column | str, as_of_epoch_day: int | Column) -> Column:
     then ignored too).
     """
     today = as_of_epoch_day if isinstance(as_of_epoch_day, Column) else F.lit(int(as_of_epoch_day))
-    p = parse_entry(line)
-    day = epoch_day(p["date"])
+    # two small expressions, not the whole parse: the date is referenced
+    # many times and each reference is a copy of its expression tree
+    day = epoch_day(entry_date_part(line))
     age = F.greatest(today - day, F.lit(0)).cast("double")
     recency = F.exp(-age / HALF_LIFE_DAYS * math.log(2.0))
-    reinforcement = 1.0 + REINFORCE_WEIGHT * F.log(F.greatest(p["count"], F.lit(1)).cast("double"))
+    reinforcement = 1.0 + REINFORCE_WEIGHT * F.log(F.greatest(entry_count(line), F.lit(1)).cast("double"))
     return F.when(day.isNotNull(), recency * reinforcement).otherwise(F.lit(1.0))
 
 

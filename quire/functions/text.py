@@ -50,6 +50,34 @@ def is_entry_line(line: Column | str) -> Column:
     return _col(line).startswith(ENTRY_PREFIX)
 
 
+def entry_date_part(line: Column | str) -> Column:
+    """The 10-character date of an entry line, NULL when the line is not an
+    entry (whether it is depends only on its first 14 characters)."""
+    d = F.regexp_extract(F.substring(_col(line), 1, 14), ENTRY_HEAD, 1)
+    return F.when(d != "", d)
+
+
+def _counter(line: Column) -> tuple[Column, Column]:
+    """(has_counter, suffix): a trailing `` [×N]`` with N a u32, starting
+    after the ``- YYYY-MM-DD:`` prefix."""
+    suffix = F.regexp_extract(line, COUNTER_SUFFIX, 0)
+    digits = F.regexp_extract(line, COUNTER_SUFFIX, 1)
+    stripped = F.ltrim(digits, F.lit("0"))
+    fits_u32 = (F.length(stripped) <= 10) & (
+        (stripped == "") | (stripped.try_cast("bigint") <= F.lit(U32_MAX)))
+    has = (digits != "") & fits_u32 & (F.length(line) - F.length(suffix) >= 14)
+    return has, suffix
+
+
+def entry_count(line: Column | str) -> Column:
+    """The counter of an entry line (1 when absent or not a u32)."""
+    line = _col(line)
+    has, _ = _counter(line)
+    stripped = F.ltrim(F.regexp_extract(line, COUNTER_SUFFIX, 1), F.lit("0"))
+    return F.when(has, F.coalesce(stripped.try_cast("bigint"), F.lit(0)).cast("bigint")) \
+        .otherwise(F.lit(1).cast("bigint"))
+
+
 def parse_entry(line: Column | str) -> Column:
     """Parse an entry line into STRUCT<date STRING, body STRING, count BIGINT>.
 
@@ -59,28 +87,15 @@ def parse_entry(line: Column | str) -> Column:
 
     Whether a line is an entry depends only on its first 14 characters, and
     the counter only on its end, so neither regex scans the body from the
-    start; expressions that reference the parts many times (``boost``) stay
-    cheap on long lines. Equivalent to matching ``ENTRY_LINE`` as a whole.
+    start. Equivalent to matching ``ENTRY_LINE`` as a whole.
     """
     line = _col(line)
-    date = F.regexp_extract(F.substring(line, 1, 14), ENTRY_HEAD, 1)
-    suffix = F.regexp_extract(line, COUNTER_SUFFIX, 0)
-    digits = F.regexp_extract(line, COUNTER_SUFFIX, 1)
-    stripped = F.ltrim(digits, F.lit("0"))
-    fits_u32 = (F.length(stripped) <= 10) & (
-        (stripped == "") | (stripped.try_cast("bigint") <= F.lit(U32_MAX))
-    )
-    # the counter must start after "- YYYY-MM-DD:" (body may be empty)
-    has_counter = (digits != "") & fits_u32 & (F.length(line) - F.length(suffix) >= 14)
-    count = F.when(has_counter, F.coalesce(stripped.try_cast("bigint"), F.lit(0)).cast("bigint")) \
-        .otherwise(F.lit(1).cast("bigint"))
-    rest_len = F.length(line) - 14
+    date = entry_date_part(line)
+    has, suffix = _counter(line)
     rest = F.substring(line, 15, 1 << 30)
-    body = F.when(has_counter, rest.substr(F.lit(1), rest_len - F.length(suffix))).otherwise(rest)
-    return F.when(
-        date != "",
-        F.struct(date.alias("date"), body.alias("body"), count.alias("count")),
-    )
+    body = F.when(has, rest.substr(F.lit(1), F.length(line) - 14 - F.length(suffix))).otherwise(rest)
+    return F.when(date.isNotNull(), F.struct(date.alias("date"), body.alias("body"),
+                                             entry_count(line).alias("count")))
 
 
 def render_entry_str(date_str: Column | str, body: Column | str, count: Column | str) -> Column:
