@@ -6,20 +6,59 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import simhash
+from quire.llm import byte_bpe, packing, quality, simhash, suffix_dedup, token_files
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """Path of a public tokenizer's file."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash near duplicates: 4-word shingles, 4 bits."""
     return simhash.near_duplicates(documents(spark, sf_dir), shingle=4, max_bits=4)
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every text, and what they decode to."""
+    return byte_bpe.encode_documents(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.tiktoken"), digests=True)
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes left once every 400-byte string that occurs twice is removed."""
+    return suffix_dedup.repeated_bytes(documents(spark, sf_dir), length=400)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base text rules and lines that too many documents of a source share."""
+    return quality.assess(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "n_words_left")
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, written and read back."""
+    manifest = token_files.write_token_files(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), end_id=2)
+    return token_files.read_token_files(manifest)
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sum-of-squares packing into sequences of 2048 ids."""
+    return packing.pack(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), capacity=2048, end_id=0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op5_byte_bpe": op5_byte_bpe,
+    "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_quality": op7_quality,
+    "op8_token_files": op8_token_files,
+    "op10_packing": op10_packing,
 }
 
 ORACLE: dict[str, str] = {}
