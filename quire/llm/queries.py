@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import byte_bpe, packing, quality, simhash, suffix_dedup, token_files
+from quire.llm import (byte_bpe, language, metric_search, packing, quality, secrets, sharding, simhash,
+                       suffix_dedup, token_files)
+
+SHARDS = [f"shard-{i:02d}" for i in range(64)]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +27,22 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), shingle=4, max_bits=4)
 
 
+def op2_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact top 5 by inner product for every 50th vector."""
+    return metric_search.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=5, every=50)
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard of every document, out of 64."""
+    return sharding.assign(documents(spark, sf_dir), "doc_id", SHARDS)
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text."""
+    return secrets.scan(documents(spark, sf_dir)).select(
+        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every text, and what they decode to."""
     return byte_bpe.encode_documents(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.tiktoken"), digests=True)
@@ -47,6 +66,11 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(manifest)
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    return language.identify(documents(spark, sf_dir))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sum-of-squares packing into sequences of 2048 ids."""
     return packing.pack(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), capacity=2048, end_id=0)
@@ -54,10 +78,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_mtree": op2_mtree,
+    "op3_sharding": op3_sharding,
+    "op4_secrets": op4_secrets,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_quality": op7_quality,
     "op8_token_files": op8_token_files,
+    "op9_language": op9_language,
     "op10_packing": op10_packing,
 }
 
