@@ -10,11 +10,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import doc_texts, materialise, row_key, sorted_runs, to_batch
+from quire.llm.common import doc_texts, materialise, row_key, shuffle_width, sorted_runs, to_batch
 from quire.llm.graph import components
 
 SEED = 42
 BITS = 64
+BROADCAST_ROWS = 100_000  # a table of two numbers a row is broadcast up to this many rows
 _CHUNK = 1 << 16  # shingles hashed at once
 
 _EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -59,12 +60,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def deletion_variants(fps: DataFrame, max_bits: int) -> DataFrame:
-    """(fp, key): every one-wildcard variant of every segment.
+    """(fp, key bigint): every one-wildcard variant of every segment.
 
     With ``max_bits`` = d the 64 bits are cut into ``d // 2 + 1`` segments, so
     that of any pair within d bits one segment differs in at most one bit.
     Two such segments agree once that bit is masked, so a variant per bit
-    (the bit's number and the segment without it) makes an equality key."""
+    (a hash of the bit's number and the segment without it) makes an equality
+    key. Pairs that share a key are candidates only; they are verified."""
     parts = max_bits // 2 + 1
     cuts = [round(i * BITS / parts) for i in range(parts + 1)]
     low, high = F.lit(cuts[0]), F.lit(cuts[1])
@@ -78,7 +80,7 @@ def deletion_variants(fps: DataFrame, max_bits: int) -> DataFrame:
     segment = F.call_function("shiftrightunsigned",
                               F.col("fp").bitwiseAND(F.bitwise_not(F.call_function("shiftleft", one, F.col("bit")))),
                               F.col("low")).bitwiseAND(mask)
-    return v.select("fp", F.col("bit").cast("int").alias("bit"), segment.alias("segment"))
+    return v.select("fp", F.xxhash64("bit", segment).alias("key"))
 
 
 def _within(fp: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
@@ -100,8 +102,8 @@ def _within(fp: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
 
 def _links(max_bits: int, short: int = 48):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for starts, lengths, cols in sorted_runs(batches, ["bit", "segment", "i", "j"], ["fp"]):
-            fp = cols[4].view(np.uint64)
+        for starts, lengths, cols in sorted_runs(batches, ["key"], ["fp"]):
+            fp = cols[1].view(np.uint64)
             run_of = np.repeat(np.arange(len(starts)), lengths)
             rest = lengths[run_of] - (np.arange(len(fp)) - starts[run_of])  # rows from here to the end of the run
             rest[lengths[run_of] > short] = 0
@@ -134,16 +136,19 @@ def links(fps: DataFrame, max_bits: int = 4, block: int = 8192) -> DataFrame:
     all of them. A bucket above ``block`` fingerprints is cut into blocks and
     every pair of blocks becomes a bucket of its own, so no task holds more
     than two blocks of a key and no pair is lost."""
-    v = deletion_variants(fps, max_bits)
-    hot = v.groupBy("bit", "segment").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block) \
-        .select("bit", "segment", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    cut = v.join(hot, ["bit", "segment"], "left") \
-        .withColumn("own", F.when(F.col("blocks").isNull(), F.lit(0))
-                    .otherwise(F.pmod(F.hash("fp"), F.col("blocks")).cast("int"))) \
-        .withColumn("other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0)))
-                                       .otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))) \
-        .select("bit", "segment", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
-    return cut.repartition("bit", "segment", "i", "j").sortWithinPartitions("bit", "segment", "i", "j", "fp") \
+    parts = shuffle_width(fps)
+    v = deletion_variants(fps.repartition(parts, "fp"), max_bits)
+    hot = materialise(v.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+                      .select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "hot")
+    n_hot = hot.count()
+    if n_hot:
+        own = F.pmod(F.hash("fp"), F.col("blocks")).cast("int")
+        v = v.join(F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot, "key", "left") \
+            .withColumn("other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0)))
+                                           .otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))) \
+            .select("fp", F.when(F.col("blocks").isNull(), F.col("key")).otherwise(
+                F.xxhash64("key", F.least(own, "other"), F.greatest(own, "other"))).alias("key"))
+    return v.repartition(parts, "key").sortWithinPartitions("key", "fp") \
         .mapInArrow(_links(max_bits), "u bigint, v bigint")
 
 
