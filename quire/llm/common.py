@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.session import cut_lineage
@@ -18,6 +19,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return cut_lineage(df, f"llm-{name}")
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that are written and done:
+    its cleaner drops them once the driver's JVM has collected their plans,
+    which otherwise may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def doc_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id bigint, text string); a null text is the empty text. Only the
     two named columns are read, so other columns may have any name."""

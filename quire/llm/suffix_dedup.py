@@ -15,8 +15,8 @@ bytes on. The steps:
    member. Aligned classes that follow each other along a text prove a whole
    stretch equal to an earlier one, without comparing its suffixes one by one.
 3. Suffix buckets: the remaining suffixes with a repeated cover place ahead
-   are keyed by a 128-bit hash of their ``length`` bytes and sorted bucket by
-   bucket; runs of two or more are repeats.
+   are keyed by a 128-bit hash of their ``length`` bytes and sorted block by
+   block, bucket by bucket; runs of two or more are repeats.
 
 A sorted bucket is streamed, so memory holds a block of a bucket, not a class.
 """
@@ -31,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import list_lengths, materialise, row_key, shuffle_width, sorted_runs, text_key, to_batch
+from quire.llm.common import (list_lengths, materialise, release_shuffles, shuffle_width, sorted_runs, text_key,
+                              to_batch)
 
 # fixed values: a perfect difference set, every residue mod 183 is a difference of two members
 PERIOD = 183
@@ -169,8 +170,9 @@ def _proved(window: int, length: int):
     return run
 
 
-def _suffixes(window: int, length: int):
-    """Suffixes with a repeated cover place ahead that no stretch has proved."""
+def _suffixes(window: int, length: int, block: int, blocks: int):
+    """Suffixes of one block (a share of the hash range) with a repeated cover
+    place ahead that no stretch has proved."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = _window_hash(2, length), _window_hash(3, length)
         for b in batches:
@@ -178,8 +180,6 @@ def _suffixes(window: int, length: int):
             for (ord_, pos, to_ord, to_pos), raw in zip(_ties_of(b), b.column("raw")):
                 text = np.frombuffer(raw.as_buffer(), dtype=np.uint8)
                 n = len(text) - length + 1
-                if n <= 0:
-                    continue
                 change = np.zeros(len(text) + 2, dtype=np.int32)
                 np.add.at(change, np.maximum(pos - PERIOD + 1, 0), 1)
                 np.add.at(change, pos + 1, -1)
@@ -189,9 +189,12 @@ def _suffixes(window: int, length: int):
                 np.add.at(change, s, 1)
                 np.add.at(change, e - length + 1, -1)
                 places = np.flatnonzero(open_ & (np.cumsum(change[:n]) <= 0))
+                h1 = first(text, places)
+                mine = (h1 >> np.uint64(32)) % np.uint64(blocks) == block
+                places, h1 = places[mine], h1[mine]
                 if not len(places):
                     continue
-                out.append((first(text, places).view(np.int64), second(text, places).view(np.int64),
+                out.append((h1.view(np.int64), second(text, places).view(np.int64),
                             np.full(len(places), ord_), places))
                 held += len(places)
                 if held > 1 << 19:
@@ -243,17 +246,25 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["k", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def repeated_texts(docs: DataFrame, text_col: str = "text", length: int = 400) -> DataFrame:
+def repeated_texts(docs: DataFrame, text_col: str = "text", length: int = 400, blocks: int = 4) -> DataFrame:
     """(k, n_removed, n_spans, kept_sha256, kept) of every distinct text that
-    loses bytes; ``k`` is the text's 128-bit key, ``kept`` its remaining bytes."""
+    loses bytes; ``k`` is the text's 128-bit key, ``kept`` its remaining bytes.
+
+    The suffixes are sorted in ``blocks`` blocks, one after the other; that
+    bounds the shuffle files that exist at a time."""
     spark = docs.sparkSession
     window = length - PERIOD + 1
     if window < 16:
         raise ValueError(f"length must be at least {PERIOD + 15}")
     parts = shuffle_width(docs)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    # one row a distinct text, numbered, laid out by its number so that later joins need not move texts
-    texts = materialise(
+
+    def step(df: DataFrame, name: str) -> DataFrame:
+        out = materialise(df, name)
+        release_shuffles(spark)
+        return out
+
+    texts = step(  # one row a distinct text
         docs.select(text_key(text).alias("k"), text.cast("binary").alias("raw"))
         .where(F.octet_length("raw") >= length)
         .groupBy("k").agg(F.count(F.lit(1)).alias("copies"), F.first("raw").alias("raw"))
@@ -261,21 +272,23 @@ def repeated_texts(docs: DataFrame, text_col: str = "text", length: int = 400) -
     whole = texts.where("copies > 1").select(  # each copy's strings start in the other: nothing is left
         "k", F.octet_length("raw").cast("bigint").alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"),
         F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), F.lit(b"").alias("kept"))
-    ties = materialise(
+    ties = step(
         texts.select("ord", "raw").mapInArrow(_samples(window), "h bigint, ord bigint, pos bigint")
         .repartition(parts, "h").sortWithinPartitions("h", "ord", "pos")
-        .mapInArrow(_tied, "ord bigint, pos bigint, to_ord bigint, to_pos bigint"), "ties")
-    by_text = ties.groupBy("ord").agg(*[F.collect_list(c).alias(c) for c in ("pos", "to_ord", "to_pos")])
-    proved = by_text.mapInArrow(_proved(window, length), "ord bigint, s bigint, e bigint")
-    equal = texts.select("ord", "raw").join(by_text, "ord") \
-        .mapInArrow(_suffixes(window, length), "h1 bigint, h2 bigint, ord bigint, p bigint") \
-        .repartition(parts, "h1").sortWithinPartitions("h1", "h2", "ord", "p") \
-        .mapInArrow(_equal_suffixes(length), "ord bigint, s bigint, e bigint")
-    spans = materialise(proved.unionByName(equal), "spans").groupBy("ord") \
-        .agg(*[F.collect_list(c).alias(c) for c in ("s", "e")])
-    some = texts.where("copies = 1").select("ord", "k", "raw").join(spans, "ord").select("k", "raw", "s", "e") \
+        .mapInArrow(_tied, "ord bigint, pos bigint, to_ord bigint, to_pos bigint")
+        .groupBy("ord").agg(*[F.collect_list(c).alias(c) for c in ("pos", "to_ord", "to_pos")]), "ties")
+    tied = step(texts.join(ties, "ord"), "tied-texts")  # the later steps need no other texts
+    spans = tied.select("ord", "pos", "to_ord", "to_pos") \
+        .mapInArrow(_proved(window, length), "ord bigint, s bigint, e bigint")
+    for block in range(blocks):
+        spans = spans.unionByName(step(
+            tied.select("ord", "raw", "pos", "to_ord", "to_pos")
+            .mapInArrow(_suffixes(window, length, block, blocks), "h1 bigint, h2 bigint, ord bigint, p bigint")
+            .repartition(parts, "h1").sortWithinPartitions("h1", "h2", "ord", "p")
+            .mapInArrow(_equal_suffixes(length), "ord bigint, s bigint, e bigint"), "spans"))
+    spans = spans.groupBy("ord").agg(*[F.collect_list(c).alias(c) for c in ("s", "e")])
+    some = tied.where("copies = 1").select("ord", "k", "raw").join(spans, "ord").select("k", "raw", "s", "e") \
         .mapInArrow(_cut, "k binary, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
-    del spark
     return whole.unionByName(some)
 
 
