@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import doc_texts, materialise, shuffle_width
+from quire.llm.common import doc_texts, materialise
 from quire.llm.word_tokens import encoder
 
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -98,11 +98,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     packed like any other row; an empty table gives an empty result; other
     columns are not read."""
     pieces = materialise(token_pieces(docs, tokenizer, capacity, end_id, id_col, text_col, keep_ids), "pieces")
-    n = pieces.count()
-    if n <= group:
-        parts = 1
-    else:
-        parts = max(-(-n // group), min(shuffle_width(docs), n // (group // 4)))
+    parts = max(1, -(-pieces.count() // group))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
