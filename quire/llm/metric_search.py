@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import materialise
 
-PAGE = 64              # entries of a node
-FAN_OUT = 12           # children of an inner node
-TREE = 4096            # vectors of a tree, about
+PAGE = 512             # entries of a leaf
+FAN_OUT = 24           # children of an inner node
+TREE = 8192            # vectors of a tree, about
 PIVOTS = 512           # most sampled pivots
 QUERY_BLOCK = 1024     # queries searched together in one tree
 _SLACK = 1e-6          # bounds are floats; scores are whole numbers
@@ -50,7 +50,9 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def build_tree(v: np.ndarray) -> dict[str, np.ndarray]:
     """Nodes of an M-tree over the rows of ``v`` (at least one), parents
     before children: routing row, radius, parent, distance to the parent's
-    routing vector; and the entries leaf by leaf with the distance to it."""
+    routing vector, first and last entry of a leaf; and the entries leaf by
+    leaf: their rows in ``v`` (``order``), to be stored in that order, and the
+    distances to the leaf's routing vector. Routing rows count in that order."""
     route, radius, parent, to_parent, first, last, order, to_leaf = [], [], [], [], [], [], [], []
 
     def node(c: int, d: np.ndarray, up: int, up_distance: float) -> int:
@@ -62,6 +64,7 @@ def build_tree(v: np.ndarray) -> dict[str, np.ndarray]:
         last.append(-1)
         return len(route) - 1
 
+    rng = np.random.default_rng(len(v))
     rows = np.arange(len(v))
     centre = int(((v - v.mean(axis=0)) ** 2).sum(axis=1).argmin())
     work = [(rows, centre, _distance(v, v[centre]), -1, 0.0)]
@@ -73,28 +76,32 @@ def build_tree(v: np.ndarray) -> dict[str, np.ndarray]:
             order.extend(rows.tolist())
             to_leaf.extend(d.tolist())
             continue
+        # routing vectors: the rows nearest to and farthest from this one's, so that the rows do part, and a sample
+        chosen = np.unique(np.append(rng.choice(len(rows), FAN_OUT, replace=False), [d.argmin(), d.argmax()]))
         near, own = np.full(len(rows), np.inf), np.zeros(len(rows), dtype=np.int64)
-        chosen = []
-        while len(chosen) < FAN_OUT:  # the row farthest from all routing vectors so far is the next
-            at = int(near.argmax()) if chosen else int(d.argmax())
-            if near[at] == 0:
-                break
-            chosen.append(rows[at])
-            there = _distance(v[rows], v[rows[at]])
-            own[there < near] = len(chosen) - 1
+        for i, r in enumerate(rows[chosen].tolist()):
+            there = _distance(v[rows], v[r])
+            own[there < near] = i
             near = np.minimum(near, there)
+        chosen = rows[chosen].tolist()
         for i, r in enumerate(chosen):
             mine = own == i
-            work.append((rows[mine], int(r), near[mine], me, float(_distance(v[c], v[r]))))
-    return {"route": np.array(route), "radius": np.array(radius), "parent": np.array(parent),
+            if mine.any():
+                work.append((rows[mine], r, near[mine], me, float(_distance(v[c], v[r]))))
+    place = np.empty(len(v), dtype=np.int64)
+    place[order] = np.arange(len(v))
+    return {"route": place[route], "radius": np.array(radius), "parent": np.array(parent),
             "to_parent": np.array(to_parent), "first": np.array(first), "last": np.array(last),
-            "entry": np.array(order), "to_leaf": np.array(to_leaf)}
+            "order": np.array(order), "to_leaf": np.array(to_leaf)}
 
 
 class Tree:
+    """A tree ready for search: ids and vectors in leaf order, node arrays."""
+
     def __init__(self, ids: np.ndarray, v: np.ndarray, nodes: dict[str, np.ndarray]):
         self.ids, self.v, self.exact = ids, v.astype(np.float64), v
         self.__dict__.update(nodes)
+        self.largest = float(np.abs(self.v).sum(axis=1).max())
         by_parent: dict[int, list[int]] = {}
         for i, p in enumerate(self.parent.tolist()):
             by_parent.setdefault(p, []).append(i)
@@ -104,6 +111,8 @@ class Tree:
     def search(self, q: np.ndarray, q_id: int, k: int, floor: float) -> list[tuple[int, int]]:
         """The k best (score, vec_id) among entries that score ``floor`` or more."""
         qf = q.astype(np.float64)
+        # whole numbers below 2^53 are exact in floats, and their products are faster
+        exact = self.v if self.largest * float(np.abs(qf).max(initial=0.0)) < 2.0 ** 53 else None
         size = float(np.sqrt(qf @ qf)) * (1 + 1e-12)
         best: list[tuple[int, int]] = []  # heap of (score, -vec_id), worst first
         least = floor
@@ -113,19 +122,24 @@ class Tree:
             bound, node, at = heapq.heappop(heap)
             if -bound + _SLACK * (1 + abs(bound)) < least:
                 break
-            a, b = self.first[node], self.last[node]
+            a, b = int(self.first[node]), int(self.last[node])
             if a >= 0:
-                rows = self.entry[a:b]
                 likely = at + size * self.to_leaf[a:b]
-                rows = rows[likely + _SLACK * (1 + np.abs(likely)) >= least]
+                rows = np.flatnonzero(likely + _SLACK * (1 + np.abs(likely)) >= least) + a
+                if not len(rows):
+                    continue
                 self.computed += len(rows)
-                score = self.exact[rows] @ q
-                for s, i in zip(score.tolist(), self.ids[rows].tolist()):
-                    if i != q_id and s >= least:
+                score = self.exact[rows] @ q if exact is None else \
+                    exact[a:b] @ qf if len(rows) == b - a else exact[rows] @ qf
+                good = score >= least
+                if len(best) < k and np.count_nonzero(good) > k + 1:  # one may be the query's own
+                    good &= score >= np.partition(score, len(score) - k - 1)[len(score) - k - 1]
+                for s, i in zip(score[good].tolist(), self.ids[rows[good]].tolist()):
+                    if i != q_id:
                         if len(best) < k:
-                            heapq.heappush(best, (s, -i))
+                            heapq.heappush(best, (int(s), -i))
                         else:
-                            heapq.heappushpop(best, (s, -i))
+                            heapq.heappushpop(best, (int(s), -i))
                 if len(best) == k:
                     least = max(least, best[0][0])
                 continue
@@ -142,8 +156,8 @@ class Tree:
 
 _TREE_SCHEMA = ("tree bigint, dim int, ids array<bigint>, v binary, route array<bigint>, radius array<double>, "
                 "parent array<bigint>, to_parent array<double>, first array<bigint>, last array<bigint>, "
-                "entry array<bigint>, to_leaf array<double>")
-_NODE_ARRAYS = ["route", "radius", "parent", "to_parent", "first", "last", "entry", "to_leaf"]
+                "to_leaf array<double>")
+_NODE_ARRAYS = ["route", "radius", "parent", "to_parent", "first", "last", "to_leaf"]
 
 
 def build_index(vectors: DataFrame) -> DataFrame:
@@ -180,7 +194,9 @@ def build_index(vectors: DataFrame) -> DataFrame:
         rows = rows.sort_values("vec_id")
         v = np.array(rows["v"].tolist(), dtype=np.int64).reshape(len(rows), -1)
         nodes = build_tree(v)
-        return pd.DataFrame([{"tree": 0, "dim": v.shape[1], "ids": rows["vec_id"].to_numpy(), "v": v.tobytes()}
+        order = nodes["order"]
+        return pd.DataFrame([{"tree": 0, "dim": v.shape[1], "ids": rows["vec_id"].to_numpy()[order],
+                              "v": v[order].tobytes()}
                              | {c: nodes[c] for c in _NODE_ARRAYS}])
 
     trees = cut.groupBy("dim", "pivot", "cut").applyInPandas(build, _TREE_SCHEMA)
@@ -219,15 +235,16 @@ def search(trees: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     query (vec_id, dim, v) among the other indexed vectors of its dimension,
     ties to the smaller vec_id.
 
-    First each query searches the tree with the nearest routing vector in a
-    sample of trees, which gives it a k-th score to beat. Then blocks of
+    First each query searches the tree that holds its own vector (any tree, if
+    it isn't indexed), which gives it a k-th score to beat. Then blocks of
     queries meet all trees by an equality join on the block, and a tree is
     entered only by queries whose bound at its root reaches that score."""
     n = queries.count()
     buckets = max(1, -(-n // QUERY_BLOCK))
     first_trees = trees.select("tree", "dim").groupBy("dim").agg(F.min("tree").alias("tree"))
-    start = queries.join(F.broadcast(first_trees), "dim") \
-        .select("vec_id", "v", "dim", "tree", F.lit(None).cast("bigint").alias("floor"),
+    home = trees.select(F.col("tree").alias("home"), F.explode("ids").alias("vec_id"))
+    start = queries.join(F.broadcast(first_trees), "dim").join(home, "vec_id", "left") \
+        .select("vec_id", "v", "dim", F.coalesce("home", "tree").alias("tree"), F.lit(None).cast("bigint").alias("floor"),
                 F.lit(buckets).alias("buckets"))
     blocks = _query_blocks(start, ["dim", "tree"]).withColumn("task", F.monotonically_increasing_id())
     hits = trees.join(blocks.drop("dim"), "tree").groupBy("tree", "bucket", "part").applyInPandas(_search(k), _HITS)
