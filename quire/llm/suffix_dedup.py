@@ -11,6 +11,8 @@ bytes on. The steps:
    bytes. At a bounded depth only equality matters, so the rank is the class
    of equal windows: the sample is shuffled into buckets by a hash of the
    window, a bucket is sorted at a time, and classes with one member drop out.
+   A window's repeats within one text are dealt evenly instead, so a class
+   brings a bucket one row a text at most, one of some 250 rows of that text.
 2. Long ties: each member of a class is aligned with the class's first
    member. Aligned classes that follow each other along a text prove a whole
    stretch equal to an earlier one, without comparing its suffixes one by one.
@@ -39,7 +41,8 @@ PERIOD = 183
 COVER = np.array([0, 1, 3, 16, 23, 28, 42, 76, 82, 86, 119, 137, 154, 175])
 _BLOCK = 1 << 20  # bytes of one text hashed at once
 
-_SAMPLE = pa.schema([("h", pa.int64()), ("ord", pa.int64()), ("pos", pa.int64())])
+_ONCE, _AGAIN = -1, -2  # a window's first place in its text: the only one, or of several
+_SAMPLE = pa.schema([("h", pa.int64()), ("ord", pa.int64()), ("pos", pa.int64()), ("first", pa.int64())])
 _TIE = pa.schema([("ord", pa.int64()), ("pos", pa.int64()), ("to_ord", pa.int64()), ("to_pos", pa.int64())])
 _SPAN = pa.schema([("ord", pa.int64()), ("s", pa.int64()), ("e", pa.int64())])
 _SUFFIX = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("ord", pa.int64()), ("p", pa.int64())])
@@ -106,7 +109,13 @@ def _samples(window: int):
             for ord_, raw in zip(b.column("ord").to_pylist(), b.column("raw")):
                 text = np.frombuffer(raw.as_buffer(), dtype=np.uint8)
                 places = _cover_places(len(text), window)
-                out.append((hashes(text, places).view(np.int64), np.full(len(places), ord_), places))
+                h = hashes(text, places)
+                _, at, which, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+                first = places[at][which]  # places ascend, so this is the window's first place in the text
+                later = first != places
+                h[later] += places[later].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                first[~later] = np.where(times[which][~later] > 1, _AGAIN, _ONCE)
+                out.append((h.view(np.int64), np.full(len(places), ord_), places, first))
                 held += len(places)
                 if held > 1 << 19:
                     yield to_batch(_SAMPLE, [np.concatenate(c) for c in zip(*out)])
@@ -118,13 +127,21 @@ def _samples(window: int):
 
 
 def _tied(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of classes of two or more, each with the class's first member."""
-    for starts, lengths, cols in sorted_runs(batches, ["h"], ["ord", "pos"]):
-        many = lengths > 1
-        if many.any():
-            first = np.repeat(starts, lengths)
-            keep = np.repeat(many, lengths)
-            yield to_batch(_TIE, [cols[1][keep], cols[2][keep], cols[1][first][keep], cols[2][first][keep]])
+    """Members of classes of two or more, each with the class's first member;
+    a place that repeats a window of its own text with the first there."""
+    for _, _, (h, ord_, pos, first) in sorted_runs(batches, ["h"], ["ord", "pos", "first"]):
+        later = first >= 0
+        if later.any():
+            yield to_batch(_TIE, [ord_[later], pos[later], ord_[later], first[later]])
+            h, ord_, pos, first = h[~later], ord_[~later], pos[~later], first[~later]
+        if not len(h):
+            continue
+        start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        length = np.diff(np.append(start, len(h)))
+        head = np.repeat(start, length)
+        keep = (np.repeat(length, length) > 1) | (first == _AGAIN)
+        if keep.any():
+            yield to_batch(_TIE, [ord_[keep], pos[keep], ord_[head][keep], pos[head][keep]])
 
 
 def _stretches(ord_: int, pos: np.ndarray, to_ord: np.ndarray, to_pos: np.ndarray, window: int,
@@ -239,16 +256,19 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             begin, end = s[at].tolist(), reach[np.append(at[1:], len(s)) - 1].tolist()
             removed.append(sum(end) - sum(begin))
             spans.append(len(begin))
-            kept.append(b"".join(raw[x:y] for x, y in zip([0, *end], [*begin, len(raw)])))
+            kept.append([raw[x:y] for x, y in zip([0, *end], [*begin, len(raw)])])
         yield pa.RecordBatch.from_arrays(
             [b.column("k"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()),
-             pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), pa.array(kept, pa.binary())],
+             pa.array([hashlib.sha256(b"".join(x)).hexdigest() for x in kept], pa.string()),
+             # part by part, so that halves of two characters never join to a third
+             pa.array(["".join(part.decode("utf-8", "ignore") for part in x) for x in kept], pa.string())],
             names=["k", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
 def repeated_texts(docs: DataFrame, text_col: str = "text", length: int = 400, blocks: int = 4) -> DataFrame:
     """(k, n_removed, n_spans, kept_sha256, kept) of every distinct text that
-    loses bytes; ``k`` is the text's 128-bit key, ``kept`` its remaining bytes.
+    loses bytes; ``k`` is the text's 128-bit key, ``kept_sha256`` the hash of
+    its remaining bytes, ``kept`` the characters that are left whole.
 
     The suffixes are sorted in ``blocks`` blocks, one after the other; that
     bounds the shuffle files that exist at a time."""
@@ -271,9 +291,9 @@ def repeated_texts(docs: DataFrame, text_col: str = "text", length: int = 400, b
         .withColumn("ord", F.monotonically_increasing_id()), "texts")
     whole = texts.where("copies > 1").select(  # each copy's strings start in the other: nothing is left
         "k", F.octet_length("raw").cast("bigint").alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"),
-        F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), F.lit(b"").alias("kept"))
+        F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), F.lit("").alias("kept"))
     ties = step(
-        texts.select("ord", "raw").mapInArrow(_samples(window), "h bigint, ord bigint, pos bigint")
+        texts.select("ord", "raw").mapInArrow(_samples(window), "h bigint, ord bigint, pos bigint, first bigint")
         .repartition(parts, "h").sortWithinPartitions("h", "ord", "pos")
         .mapInArrow(_tied, "ord bigint, pos bigint, to_ord bigint, to_pos bigint")
         .groupBy("ord").agg(*[F.collect_list(c).alias(c) for c in ("pos", "to_ord", "to_pos")]), "ties")
@@ -288,7 +308,7 @@ def repeated_texts(docs: DataFrame, text_col: str = "text", length: int = 400, b
             .mapInArrow(_equal_suffixes(length), "ord bigint, s bigint, e bigint"), "spans"))
     spans = spans.groupBy("ord").agg(*[F.collect_list(c).alias(c) for c in ("s", "e")])
     some = tied.where("copies = 1").select("ord", "k", "raw").join(spans, "ord").select("k", "raw", "s", "e") \
-        .mapInArrow(_cut, "k binary, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+        .mapInArrow(_cut, "k binary, n_removed bigint, n_spans bigint, kept_sha256 string, kept string")
     return whole.unionByName(some)
 
 
@@ -317,9 +337,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cut = repeated_texts(docs, text_col, length).select(F.col("k").alias("row_key"), "kept")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), text_key(text).alias("row_key"))
-    # bytes that no longer form a character decode to U+FFFD; a text that has that character keeps its own
-    left = F.when(F.col("row")[text_col].contains("�"), F.decode("kept", "UTF-8")) \
-        .otherwise(F.translate(F.decode("kept", "UTF-8"), "�", ""))
     return packed.join(cut, "row_key", "left").select(
-        [(F.when(F.col("kept").isNotNull(), left).otherwise(F.col("row")[c]) if c == text_col else F.col("row")[c])
+        [(F.when(F.col("kept").isNotNull(), F.col("kept")).otherwise(F.col("row")[c]) if c == text_col else F.col("row")[c])
          .alias(c) for c in docs.columns])
