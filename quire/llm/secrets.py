@@ -47,11 +47,13 @@ def battery(tokens: DataFrame, token_col: str = "token") -> DataFrame:
     ``encoding``, ``length_class``, ``p``); p is null where no encoding fits.
     The p-value is that of a uniform source: small means not random."""
     body = F.regexp_replace(F.col(token_col), "=+$", "")
-    t = tokens.withColumn("encoding", F.when(body.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex")
+    t = tokens.withColumn("encoding", F.when(F.length(body) < 2, None)
+                          .when(body.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex")
                           .when(body.rlike("^[A-Z2-7]+$"), "base32")
                           .when(body.rlike("^([A-Za-z0-9+/]+|[A-Za-z0-9_-]+)$"), "base64")) \
         .withColumn("body", F.when(F.col("encoding") == "hex", F.lower(body))
-                    .otherwise(F.translate(body, "-_", "+/")))
+                    .when(F.col("encoding").isNotNull(), F.translate(body, "-_", "+/"))
+                    .otherwise("00"))  # not tested; stands in so that every step is defined
     alphabet = F.when(F.col("encoding") == "hex", ALPHABETS["hex"]) \
         .when(F.col("encoding") == "base32", ALPHABETS["base32"]).otherwise(ALPHABETS["base64"])
     t = t.withColumn("n", F.length("body").cast("double")).withColumn("alphabet", alphabet) \
@@ -74,7 +76,7 @@ def battery(tokens: DataFrame, token_col: str = "token") -> DataFrame:
     t = t.withColumn("chi", F.col("a") / F.col("n") * F.col("squares") - F.col("n")).withColumn("mean", mean) \
         .withColumn("z_chi", (F.pow(F.col("chi") / df, F.lit(1.0) / 3) - (F.lit(1.0) - spread)) / F.sqrt(spread)) \
         .withColumn("var", F.col("mean") * (F.col("mean") - 1) / (F.col("n") - 1)) \
-        .withColumn("z_runs", F.abs((F.col("runs") - 1 - F.col("mean")) / F.sqrt("var"))) \
+        .withColumn("z_runs", F.when(F.col("var") > 0, F.abs((F.col("runs") - 1 - F.col("mean")) / F.sqrt("var")))) \
         .withColumn("z_serial", F.abs(F.col("products") / F.lit(4.0) / ((F.col("a") * F.col("a") - 1) / 12)
                                       / F.sqrt(F.col("n") - 1)))
     t = t.withColumn("p_chi", _upper_tail(F.col("z_chi"))) \
@@ -83,7 +85,7 @@ def battery(tokens: DataFrame, token_col: str = "token") -> DataFrame:
     y = -sum((F.log(F.greatest(F.col(c), F.lit(1e-30))) for c in ("p_chi", "p_runs", "p_serial")), F.lit(0.0))
     t = t.withColumn("y", y)
     p = F.exp(-F.col("y")) * (F.lit(1.0) + F.col("y") + F.col("y") * F.col("y") / 2)
-    return t.withColumn("p", F.when(F.col("encoding").isNotNull() & (F.col("n") >= 2), p)) \
+    return t.withColumn("p", F.when(F.col("encoding").isNotNull(), p)) \
         .withColumn("length_class", F.floor(F.log2("n") * 2).cast("int")) \
         .select(*tokens.columns, "encoding", "length_class", "p")
 
