@@ -183,7 +183,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     fit = np.flatnonzero(~check)
     weights, bias = fit_ftrl([vectors[i] for i in fit], labels[fit], max(len(languages), 1))
     kept = np.flatnonzero(check)
-    logits = np.array([vectors[i][1] @ weights[vectors[i][0]] + bias for i in kept]).reshape(len(kept), -1)
+    logits = np.array([vectors[i][1] @ weights[vectors[i][0]] + bias for i in kept]).reshape(len(kept), max(len(languages), 1))
     return Model(languages, idf, weights, bias, fit_temperature(logits, labels[kept]))
 
 
