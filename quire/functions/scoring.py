@@ -26,6 +26,9 @@ SUPERSEDE_THRESHOLD = 0.85
 # Scores are rounded before ranking so ties break the same way on every
 # engine (summation order differs in the last bits).
 SCORE_DIGITS = 6
+# Best-match choices compare similarities to this many digits: enough to absorb the noise of
+# double arithmetic, too few to let a lower similarity win.
+TIE_DIGITS = 12
 
 
 def _col(c: Column | str) -> Column:

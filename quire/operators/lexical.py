@@ -45,11 +45,12 @@ def query_terms(queries: DataFrame, text_col: str = "query") -> DataFrame:
 
 
 def ranked(df: DataFrame, score_col: str, k: int, partition_col: str = "query_id",
-           tie_cols: tuple[str, ...] = ("entry_id",), rank_col: str = "rank") -> DataFrame:
+           tie_cols: tuple[str, ...] = ("entry_id",), rank_col: str = "rank",
+           digits: int = SCORE_DIGITS) -> DataFrame:
     """Keep the top ``k`` rows per partition by rounded score desc, then
     ``tie_cols`` asc (a total order, so every engine agrees)."""
     w = Window.partitionBy(partition_col).orderBy(
-        F.round(score_col, SCORE_DIGITS).desc(), *[F.col(c).asc() for c in tie_cols])
+        F.round(score_col, digits).desc(), *[F.col(c).asc() for c in tie_cols])
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k) \
         .withColumn(rank_col, F.col(rank_col).cast("bigint"))
 

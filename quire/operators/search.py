@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quire.functions.scoring import CANDIDATE_DEPTH, DEFAULT_LIMIT, RRF_K, SCORE_DIGITS, boost, rrf
 from quire.operators import lexical, similarity
 from quire.operators.index import Bm25Index
-from quire.operators.vectors import Embedder, embed_frame
+from quire.operators.vectors import Embedder, embed_frame, live_vectors
 from quire.session import cut_lineage
 
 MODES = ("auto", "lexical", "vector", "hybrid")
@@ -47,6 +47,7 @@ def hybrid_search(index: Bm25Index, entries: DataFrame | None, vectors: DataFram
         raise ValueError("limit must be a non-negative integer")
     lex = lexical.bm25_candidates(index, queries, candidates, with_info=False)
     qstats: dict = {}
+    vectors = live_vectors(vectors, index.docs)  # a vector whose entry is gone must not fill the candidate list
     vec = similarity.topk_cosine(vectors, query_vectors(queries, embed, dim=dim), candidates,
                                  keep=("topic",), stats=qstats)
     # The two candidate lists are small (queries x candidates rows each):

@@ -169,7 +169,7 @@ def backfill(entries: DataFrame, vectors: DataFrame, embed: Embedder | None = No
     """Embed only entries lacking a vector, then upsert them (the reference
     re-embeds everything; the final table is the same)."""
     new = embed_entries(missing(entries, vectors), embed, dim=dim)
-    return upsert(vectors, new)
+    return vectors.unionByName(new.select(*vectors.columns))  # all new keys: nothing to replace
 
 
 def live_vectors(vectors: DataFrame, entries: DataFrame, key: str = "entry_id") -> DataFrame:

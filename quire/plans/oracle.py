@@ -161,8 +161,8 @@ new_raw AS (
 ),
 validated AS (
   SELECT seq, {norm_topic('topic_raw')} AS topic, regexp_replace(body_raw, '[\\r\\n]+', ' ', 'g') AS body,
-         CASE WHEN topic_raw IS NULL OR {norm_topic('topic_raw')} = '' THEN 'topic name is empty after normalization'
-              WHEN body_raw IS NULL OR {blank('body_raw')} THEN 'entry cannot be empty' END AS reason
+         CASE WHEN topic_raw IS NULL OR {norm_topic('topic_raw')} = '' THEN 'blank_topic'
+              WHEN body_raw IS NULL OR {blank('body_raw')} THEN 'blank_entry' END AS reason
   FROM new_raw
 ),
 new_entries AS (
@@ -416,7 +416,7 @@ wpairs AS (
 ),
 best AS (
   SELECT * FROM wpairs
-  QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(sim, 6) DESC, match_seq) = 1
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(sim, 12) DESC, match_seq) = 1
 ),
 cls AS (
   SELECT w.entry_id, w.topic, w.seq, w.written_on, w.body, w.base_count,

@@ -82,6 +82,8 @@ def work_root(spark: SparkSession) -> str:
     """
     sc = spark.sparkContext
     root = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="quire-ckpt-")
         sc.setCheckpointDir(root)

@@ -32,7 +32,7 @@ def scan_entries(spark: SparkSession, path: str, layout: str = "files") -> DataF
         df = reader.option("pathGlobFilter", "*.md").option("recursiveFileLookup", "false").text(path)
         topic = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.md$", 1)
     elif layout == "partitioned":
-        df = reader.text(path)
+        df = reader.schema("value string, topic string").text(path)  # topics stay strings
         topic = F.col("topic")
     else:
         raise ValueError("layout must be 'files' or 'partitioned'")

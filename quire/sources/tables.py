@@ -5,6 +5,7 @@ never reads the table it is overwriting."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> str:
@@ -25,4 +26,10 @@ def append_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """A table as it was written: partition folders read back as strings, so
+    that a topic named ``007`` or ``2024`` keeps its name."""
+    found = spark.read.parquet(path).schema
+    if "topic" not in found.names:
+        return spark.read.parquet(path)
+    kept = T.StructType([T.StructField(f.name, T.StringType() if f.name == "topic" else f.dataType) for f in found])
+    return spark.read.schema(kept).parquet(path)

@@ -84,7 +84,7 @@ def fold(writes: list[dict], reaffirm: float = 0.95, supersede: float = 0.85,
         best = None
         for pos, e in enumerate(f):
             s = cosine(q, embed(e["body"], dim))
-            key = np.round(s, 6)
+            key = np.round(s, 12)
             if best is None or key > best[2]:
                 best = (pos, s, key)
         if best is not None and best[1] >= reaffirm:

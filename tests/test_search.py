@@ -131,3 +131,43 @@ def test_cosine_topk_blocked_path_equals_broadcast(spark, monkeypatch):
     monkeypatch.setattr(similarity, "MAX_QUERY_CELLS", 64 * 4)  # 12 queries no longer fit
     got = sorted(map(tuple, similarity.topk_cosine(v, q, 5).select("query_id", "rank", "entry_id").collect()))
     assert got == want and len(got) == 60
+
+
+def test_topk_keeps_all_near_ties(spark):
+    """More ties below the best than any slack, and the best with the largest id."""
+    import numpy as np
+    from quire.operators import similarity
+
+    def unit(c):
+        return [float(c), float(np.sqrt(1 - c * c))]
+    rows = [(i, "t", unit(0.9453124)) for i in range(40)] + [(99, "t", unit(0.9453125))]
+    v = spark.createDataFrame(rows, "entry_id bigint, topic string, embedding array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id bigint, embedding array<double>")
+    got = similarity.topk_cosine(v.coalesce(1), q, 1).collect()
+    assert [r.entry_id for r in got] == [99]
+
+
+def test_cosine_of_null_and_mixed_lengths(spark):
+    import pandas as pd
+    from quire.operators import similarity
+    a = similarity._matrix(pd.Series([[1.0, 0.0], None, [1.0, 0.0, 0.0]]))
+    assert similarity.cosine_matrix(a, a).tolist() == [[1, 0, 0], [0, 0, 0], [0, 0, 1]]
+
+
+def test_best_match_takes_the_larger_similarity(spark):
+    import numpy as np
+    from quire.operators import similarity
+
+    def unit(c):
+        return [float(c), float(np.sqrt(1 - c * c))]
+    rows = [(1, "t", 1, unit(0.8499997)), (2, "t", 2, unit(0.8500002)), (3, "t", 3, [1.0, 0.0])]
+    v = spark.createDataFrame(rows, "entry_id bigint, topic string, seq bigint, embedding array<double>")
+    best = {r.id: r.match_id for r in similarity.best_earlier_match(v).collect()}
+    assert best[3] == 2
+
+
+def test_topics_read_back_as_text(spark, tmp_dir):
+    from quire.sources import tables
+    df = spark.createDataFrame([("007", 1), ("2024", 2)], "topic string, n int")
+    tables.append_table(df, f"{tmp_dir}/t", ("topic",))
+    assert {r.topic for r in tables.read_table(spark, f"{tmp_dir}/t").collect()} == {"007", "2024"}
