@@ -89,4 +89,43 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_mtree": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id, score
+FROM s QUALIFY rank <= 5""",
+    "op3_sharding": f"""
+WITH t AS (SELECT string_split('{",".join(map(str, sharding.lookup_table(SHARDS)))}', ',') AS owners),
+d AS (SELECT doc_id, CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15)) AS BIGINT) % {sharding.TABLE_SIZE} AS slot
+      FROM documents)
+SELECT doc_id, slot, CAST(owners[slot + 1] AS INTEGER) AS shard_id,
+       'shard-' || lpad(owners[slot + 1], 2, '0') AS shard
+FROM d, t""",
+    "op7_quality": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+n AS (SELECT r, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars FROM w),
+g AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, w FROM w WHERE len(w) > 2),
+g3 AS (SELECT r, i, [w[i], w[i + 1], w[i + 2]] AS g FROM g),
+again AS (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY r, g) AS c FROM g3) WHERE c > 1),
+rep AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM again GROUP BY r),
+raw AS (SELECT r, host, t, unnest(string_split(t, chr(10))) AS line FROM d),
+solid AS (SELECT * FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM solid GROUP BY r),
+norm AS (SELECT r, host, t, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS line FROM solid),
+many AS (SELECT host, line, count(DISTINCT t) AS c FROM norm GROUP BY host, line),
+hosts AS (SELECT host, greatest(20.0, 0.01 * count(DISTINCT t)) AS most FROM d GROUP BY host),
+common AS (SELECT many.host, line FROM many JOIN hosts USING (host) WHERE c > most),
+gone AS (SELECT r, sum(len(string_split(line, ' '))) AS gone FROM norm JOIN common USING (host, line) GROUP BY r),
+a AS (SELECT d.doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars,
+             CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+             coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+             CAST(n_words - coalesce(gone, 0) AS BIGINT) AS n_words_left
+      FROM d JOIN n USING (r) LEFT JOIN rep USING (r) LEFT JOIN dup USING (r) LEFT JOIN gone USING (r))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words_left >= 0.3 * n_words AS kept
+FROM a""",
+}
