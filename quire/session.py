@@ -107,3 +107,12 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table that no later plan reads. Only folders
+    made by ``fresh_path`` are accepted."""
+    if not path.startswith(f"{work_root(spark)}/quire/"):
+        raise ValueError("not an intermediate table of this session: " + path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -27,7 +27,7 @@ from quire.operators import consolidate, notes
 
 WRITE_SCHEMA = ("seq bigint, entry_id bigint, topic_raw string, body_raw string, "
                 "written_on date, force boolean")
-LIVE_COLS = ["entry_id", "topic", "seq", "entry_date", "reinforce_count", "body", "line"]
+LIVE_COLS = ["entry_id", "topic", "seq", "entry_date", "reinforce_count", "body", "line", "embedding"]
 
 
 def read_write_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -79,7 +79,7 @@ def latest_batch(spark: SparkSession, root: str, before: int | None = None) -> i
 
 
 def stream_consolidate(writes: DataFrame, root: str, checkpoint: str,
-                       seed_path: str | None = None, group_by: str = "component", **fold_args) -> None:
+                       seed_path: str | None = None, **fold_args) -> None:
     """Fold each micro-batch against the live table. Output folders under
     ``root``: ``live/batch=<id>``, ``outcomes/batch=<id>``,
     ``tombstones/batch=<id>``."""
@@ -94,7 +94,7 @@ def stream_consolidate(writes: DataFrame, root: str, checkpoint: str,
             seed = spark.read.parquet(seed_path)
         raw = notes.validate_writes(batch).where("accepted")
         w = raw.select("seq", "entry_id", "topic", "body", "written_on", "force")
-        res = consolidate.fold(w, seed=seed, group_by=group_by, **fold_args)
+        res = consolidate.fold(w, seed=seed, **fold_args)
         res.outcomes.write.mode("overwrite").parquet(f"{root}/outcomes/batch={batch_id}")
         res.tombstones.write.mode("overwrite").parquet(f"{root}/tombstones/batch={batch_id}")
         res.live.select(*LIVE_COLS).write.mode("overwrite").parquet(f"{root}/live/batch={batch_id}")
