@@ -81,8 +81,7 @@ def first_matches(lines: DataFrame, requests: DataFrame) -> DataFrame:
     pick = (F.min_by("new_line", "req_seq") if "req_seq" in requests.columns
             else F.min("new_line"))
     req = requests.groupBy("topic", "old_line").agg(pick.alias("new_line"))
-    hits = lines.join(req.withColumnRenamed("old_line", "line"), ["topic", "line"], "left_semi")
-    first = hits.groupBy("topic", "line").agg(F.min("seq").alias("seq"))
+    first = lines.groupBy("topic", "line").agg(F.min("seq").alias("seq"))
     return first.join(req.withColumnRenamed("old_line", "line"), ["topic", "line"]) \
         .select("topic", "seq", "new_line")
 

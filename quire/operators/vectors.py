@@ -40,33 +40,45 @@ def bincount_rows(bins: pd.Series, dim: int) -> pd.Series:
     return pd.Series(list(counts.astype(np.float32)), index=bins.index)
 
 
-def _bins_of_tokens(tokens: pd.Series, dim: int, cache: dict) -> pd.Series:
+def hash_tokens(tokens: list[str], dim: int) -> np.ndarray:
+    """The bin of each token. All tokens advance together, one numpy step per
+    byte position; the few that are much longer than the rest finish one by one."""
+    seed, mult = hash_params(dim)
+    mask = dim - 1
+    raw = [t.encode("utf-8") for t in tokens]
+    lens = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+    order = np.argsort(-lens, kind="stable")
+    flat = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.int64)
+    at = (np.cumsum(lens) - lens)[order]
+    left = lens[order]
+    h = np.full(len(raw), seed, dtype=np.int64)
+    pos, active = 0, int(np.count_nonzero(left > 0))
+    while active > 8:
+        h[:active] = ((h[:active] ^ flat[at[:active] + pos]) * mult) & mask
+        pos += 1
+        active = int(np.searchsorted(-left, -pos, side="left"))  # tokens longer than pos
+    for j in range(active):
+        x = int(h[j])
+        for byte in raw[order[j]][pos:]:
+            x = ((x ^ byte) * mult) & mask
+        h[j] = x
+    bins = np.empty(len(raw), dtype=np.int64)
+    bins[order] = h
+    return bins
+
+
+def _bins_of_tokens(tokens: pd.Series, dim: int) -> pd.Series:
     """Series of token arrays -> Series of bin arrays. Each distinct token
-    of the batch is hashed once (and remembered by the worker)."""
+    of the batch is hashed once."""
     lens = np.fromiter((0 if t is None else len(t) for t in tokens), dtype=np.int64, count=len(tokens))
     if lens.sum() == 0:
         return pd.Series([np.zeros(0, dtype=np.int64)] * len(tokens), index=tokens.index)
     flat = np.concatenate([np.asarray(t, dtype=object) for t in tokens if t is not None and len(t)])
-    uniq, inv = np.unique(flat, return_inverse=True)
-    seed, mult = hash_params(dim)
-    mask = dim - 1
-    ub = np.empty(len(uniq), dtype=np.int64)
-    for i, tok in enumerate(uniq):
-        b = cache.get(tok)
-        if b is None:
-            h = seed
-            for byte in tok.encode("utf-8"):
-                h = ((h ^ byte) * mult) & mask
-            b = cache[tok] = h
-        ub[i] = b
-    bins = ub[inv]
+    codes, distinct = pd.factorize(flat)
+    bins = hash_tokens(list(distinct), dim)[codes]
     return pd.Series(np.split(bins, np.cumsum(lens)[:-1]), index=tokens.index)
 
 
-_TOKEN_CACHE: dict[int, dict] = {}
-_CACHE_LIMIT = 2_000_000
-
-
 def hash_embed_frame(df: DataFrame, text_col: str, keep: list[str], dim: int = DEFAULT_DIM,
                      out_col: str = "embedding") -> DataFrame:
     """``keep`` columns plus a dense hashed vector of ``text_col``.
@@ -82,11 +94,8 @@ def hash_embed_frame(df: DataFrame, text_col: str, keep: list[str], dim: int = D
     schema = T.StructType(fields + [T.StructField(out_col, T.ArrayType(T.FloatType()))])
 
     def fn(batches):
-        cache = _TOKEN_CACHE.setdefault(dim, {})
         for pdf in batches:
-            if len(cache) > _CACHE_LIMIT:
-                cache.clear()
-            pdf[out_col] = bincount_rows(_bins_of_tokens(pdf["_toks"], dim, cache), dim)
+            pdf[out_col] = bincount_rows(_bins_of_tokens(pdf["_toks"], dim), dim)
             yield pdf[keep + [out_col]]
 
     return staged.mapInPandas(fn, schema)

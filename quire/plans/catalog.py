@@ -326,29 +326,33 @@ def q_tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_consolidate_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordered consolidation of every entry replayed as a write (rows-only
-    for the driver; checked against a plain-Python model in tests)."""
+    """Ordered consolidation of every entry replayed as a write."""
     res = consolidate.fold(_writes(spark, sf_dir))
     return res.outcomes.select("seq", "entry_id", "topic", "outcome", "match_seq", "new_count")
 
 
 def q_export_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = notes_files.export_notes(fx.entries(spark, sf_dir), fresh_path(spark, "notes"))
-    return notes_files.read_notebooks(spark, path).select("topic", "file", "value")
+    return notes_files.read_notebooks(spark, path)
 
 
 def q_scan_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exported notebooks scanned back, entry lines only."""
     path = notes_files.export_notes(fx.entries(spark, sf_dir), fresh_path(spark, "notes"))
     return notes_files.scan_entries(spark, path, layout="partitioned").select("topic", "line")
 
 
-# Staged feed: the write requests land in a folder as a few files in seq
-# order (one job per seq range), so the stream sees several micro-batches.
-FEED_FILES = 4
+# The feed arrives in this many deliveries, in ``seq`` order.
+DELIVERIES = 4
 
 
-def stage_feed(raw: DataFrame, path: str, n_files: int = FEED_FILES) -> str:
-    bounds = raw.approxQuantile("seq", [i / n_files for i in range(1, n_files)], 0.0001)
+def deliver(spark: SparkSession, raw: DataFrame, run: Callable[[DataFrame], None],
+            deliveries: int = DELIVERIES) -> None:
+    """Land the write requests in a folder delivery by delivery (each written
+    by all its tasks) and let the stream catch up after each one. The stream's
+    checkpoint carries on, so every delivery is the next micro-batch."""
+    path = fresh_path(spark, "feed")
+    bounds = raw.approxQuantile("seq", [i / deliveries for i in range(1, deliveries)], 0.0001)
     edges = [None] + sorted(set(bounds)) + [None]
     for lo, hi in zip(edges[:-1], edges[1:]):
         part = raw
@@ -356,9 +360,8 @@ def stage_feed(raw: DataFrame, path: str, n_files: int = FEED_FILES) -> str:
             part = part.where(F.col("seq") > lo)
         if hi is not None:
             part = part.where(F.col("seq") <= hi)
-        part.select(*[c.split()[0] for c in streams.WRITE_SCHEMA.split(", ")]) \
-            .coalesce(1).write.mode("append").parquet(path)
-    return path
+        part.select(*[c.split()[0] for c in streams.WRITE_SCHEMA.split(", ")]).write.mode("append").parquet(path)
+        run(streams.read_write_stream(spark, path))
 
 
 def _entry_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -368,24 +371,21 @@ def _entry_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    feed = stage_feed(fx.new_writes(spark, sf_dir), fresh_path(spark, "feed"))
     out, ck = fresh_path(spark, "stream-entries"), fresh_path(spark, "stream-ckpt")
-    streams.stream_append(streams.read_write_stream(spark, feed, 1), out, ck)
+    deliver(spark, fx.new_writes(spark, sf_dir), lambda feed: streams.stream_append(feed, out, ck))
     return tables.read_table(spark, out).select("entry_id", "topic", "line", "seq")
 
 
 def q_stream_topic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    feed = stage_feed(fx.new_writes(spark, sf_dir), fresh_path(spark, "feed"))
     out, ck = fresh_path(spark, "stream-counts"), fresh_path(spark, "stream-ckpt")
-    streams.stream_topic_counts(streams.read_write_stream(spark, feed, 1), out, ck)
+    deliver(spark, fx.new_writes(spark, sf_dir), lambda feed: streams.stream_topic_counts(feed, out, ck))
     last = streams.latest_batch(spark, out)
     return tables.read_table(spark, f"{out}/batch={last}").select("topic", "n_entries")
 
 
 def q_stream_consolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    feed = stage_feed(_entry_feed(spark, sf_dir), fresh_path(spark, "feed"))
     root, ck = fresh_path(spark, "stream-fold"), fresh_path(spark, "stream-ckpt")
-    streams.stream_consolidate(streams.read_write_stream(spark, feed, 1), root, ck)
+    deliver(spark, _entry_feed(spark, sf_dir), lambda feed: streams.stream_consolidate(feed, root, ck))
     return tables.read_table(spark, f"{root}/outcomes").select(
         "seq", "entry_id", "topic", "outcome", "match_seq", "new_count")
 

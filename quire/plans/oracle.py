@@ -11,6 +11,9 @@ from __future__ import annotations
 
 # --- fixed parameters mirrored from the Spark side --------------------------
 AS_OF = "DATE '2026-01-01'"
+HASH_OFFSET = 1469598103934665603
+HASH_PRIME = 1099511628211
+DIM = 64
 # ---------------------------------------------------------------------------
 
 TOKENS = r"list_filter(regexp_split_to_array(lower({x}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
@@ -277,10 +280,6 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6
 
 
 # --- hashed vectors (64 bins, FNV-style fold reduced modulo 64) ----------------
-HASH_OFFSET = 1469598103934665603
-HASH_PRIME = 1099511628211
-DIM = 64
-
 
 def hash_bin(tok: str, dim: int = DIM) -> str:
     seed, mult = HASH_OFFSET % dim, HASH_PRIME % dim
@@ -459,3 +458,62 @@ SELECT c.written_on AS logged_on, c.topic, c.outcome AS kind,
 FROM cls c JOIN writes m ON m.seq = c.match_seq
 WHERE c.outcome <> 'append'""",
 })
+
+
+# --- note files, streams, ordered fold -------------------------------------------
+# The fold, one write of every topic per recursion step: ``live`` is the topic's
+# notebook before the step, in file order. The nearest live entry (similarity at 12
+# digits, the earliest of equals) decides; its place in the list is ``hit``.
+FOLD = with_(ENTRIES, WRITES,
+             hash_vectors("rawvec", "writes", "entry_id", "body"),
+             hash_vectors("candvec", "writes", "entry_id", "cand_body"), """
+steps AS MATERIALIZED (
+  SELECT w.topic, w.seq, w.entry_id, w.base_count, q.v AS qv, c.v AS cv,
+         row_number() OVER (PARTITION BY w.topic ORDER BY w.seq) AS k
+  FROM writes w JOIN rawvec q USING (entry_id) JOIN candvec c USING (entry_id)
+),
+fold AS (
+  SELECT topic, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS entry_id,
+         CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS BIGINT) AS match_seq, CAST(NULL AS BIGINT) AS new_count,
+         CAST([] AS STRUCT(seq BIGINT, cnt BIGINT, v DOUBLE[])[]) AS live
+  FROM (SELECT DISTINCT topic FROM writes)
+  UNION ALL
+  SELECT topic, k, seq, entry_id, outcome, CASE WHEN outcome <> 'append' THEN live[hit].seq END,
+         CAST(CASE WHEN outcome = 'reaffirm' THEN live[hit].cnt + 1 ELSE base_count END AS BIGINT),
+         CASE outcome
+           WHEN 'reaffirm' THEN list_transform(live, lambda e, i: CASE WHEN i = hit THEN
+             struct_pack(seq := e.seq, cnt := e.cnt + 1, v := e.v) ELSE e END)
+           WHEN 'supersede' THEN list_append(list_concat(live[1:hit - 1], live[hit + 1:]),
+             struct_pack(seq := seq, cnt := CAST(base_count AS BIGINT), v := cv))
+           ELSE list_append(live, struct_pack(seq := seq, cnt := CAST(base_count AS BIGINT), v := cv)) END
+  FROM (
+    SELECT *, CASE WHEN sims[hit] >= CAST(0.95 AS DOUBLE) THEN 'reaffirm'
+                   WHEN sims[hit] >= CAST(0.85 AS DOUBLE) THEN 'supersede' ELSE 'append' END AS outcome
+    FROM (
+      SELECT *, list_position(near, list_max(near)) AS hit
+      FROM (
+        SELECT *, list_transform(sims, lambda x: round(x, 12)) AS near
+        FROM (SELECT s.*, f.live, list_transform(f.live, lambda e: """ + cos("s.qv", "e.v") + """) AS sims
+              FROM fold f JOIN steps s ON s.topic = f.topic AND s.k = f.k + 1))))
+)""").replace("WITH ", "WITH RECURSIVE ", 1) + """
+SELECT seq, entry_id, topic, outcome, match_seq, new_count FROM fold WHERE k > 0"""
+
+ORACLE.update({
+    "scan_entries": with_(ENTRIES) + """
+SELECT topic, line FROM entry_lines WHERE starts_with(line, '- ')""",
+
+    "export_notes": with_(ENTRIES) + """
+SELECT topic, CAST(row_number() OVER (PARTITION BY topic ORDER BY seq) - 1 AS BIGINT) AS line_no, value
+FROM (SELECT topic, seq, line AS value FROM entry_lines
+      UNION ALL SELECT DISTINCT topic, -2, '# ' || topic FROM entry_lines
+      UNION ALL SELECT DISTINCT topic, -1, '' FROM entry_lines)""",
+
+    "stream_append": with_(ENTRIES, NEW_WRITES) + """
+SELECT entry_id, topic, line, seq FROM new_entries""",
+
+    "stream_topic_counts": with_(ENTRIES, NEW_WRITES) + """
+SELECT topic, COUNT(*) AS n_entries FROM new_entries GROUP BY topic""",
+
+    "consolidate_fold": FOLD,
+    "stream_consolidate": FOLD,
+})

@@ -13,7 +13,7 @@ Two layouts:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import is_entry_line
@@ -66,7 +66,19 @@ def export_notes(entries: DataFrame, path: str, n_parts: int | None = None) -> s
 
 
 def read_notebooks(spark: SparkSession, path: str) -> DataFrame:
-    """(topic, file, row_id, value) of an exported folder, all lines."""
-    return spark.read.option("lineSep", "\n").text(path).select(
-        "topic", F.col("_metadata.file_name").alias("file"),
-        F.monotonically_increasing_id().alias("row_id"), "value")
+    """(topic, line_no, value) of an exported folder, all lines; ``line_no``
+    (from 0) is the line's place in its topic's notebook: part files in name
+    order, blocks in file order. Lines are numbered within a block, and blocks
+    by the counts of those before them, so a large topic is never sorted in
+    one task."""
+    block = ["topic", "file", "block_start"]
+    lines = spark.read.option("lineSep", "\n").schema("value string, topic string").text(path).select(
+        "topic", "value", F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_block_start").alias("block_start"),
+        F.monotonically_increasing_id().alias("row_id"))
+    sizes = lines.groupBy(*block).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("topic").orderBy("file", "block_start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*block, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy(*block).orderBy("row_id")
+    return lines.withColumn("i", F.row_number().over(inside) - 1).join(offsets, block) \
+        .select("topic", (F.col("i") + F.col("offset")).cast("bigint").alias("line_no"), "value")

@@ -108,3 +108,13 @@ def test_cosine_edges(spark):
     got = [r.c for r in df.select(cosine("a", "b").alias("c")).collect()]
     assert got[:5] == [1.0, 0.0, 0.0, 0.0, 0.0]
     assert got[5] == pytest.approx(24 / 25)
+
+
+@pytest.mark.parametrize("dim", [64, 4096])
+def test_hash_tokens_of_mixed_lengths(spark, dim):
+    """The vectorised hash equals the column expression, very long tokens included."""
+    from quire.operators.vectors import hash_tokens
+    toks = ["a", "é", "漢字", "b" * 3000, "c" * 40] + [f"t{i}" * (i % 5 + 1) for i in range(60)]
+    df = spark.createDataFrame([(t,) for t in toks], "t string")
+    want = {r.t: r.b for r in df.select("t", token_bin("t", dim).alias("b")).collect()}
+    assert hash_tokens(toks, dim).tolist() == [want[t] for t in toks]

@@ -88,3 +88,6 @@ def test_export_scan_roundtrip(spark, tmp_dir):
         assert content == want
     scanned = notes_files.scan_entries(spark, path, layout="partitioned")
     assert scanned.count() == 50 and text.count() == 54
+    numbered = {(r.topic, r.line_no): r.value for r in text.collect()}
+    assert all(numbered["t", i] == v for i, v in enumerate(want if topic == "t" else [])) and len(numbered) == 54
+    assert numbered["u", 0] == "# u" and numbered["u", 2] == "- 2026-01-01: line 0"

@@ -37,12 +37,15 @@ def test_stream_consolidate_equals_model(spark):
 
 def test_stream_batches_are_idempotent(spark):
     """Re-running a micro-batch writes the same versioned folders."""
-    feed = catalog.stage_feed(catalog._entry_feed(spark, SF), fresh_path(spark, "feed"), n_files=2)
-    root, ck = fresh_path(spark, "sf"), fresh_path(spark, "ck")
-    streams.stream_consolidate(streams.read_write_stream(spark, feed, 1), root, ck)
-    first = sorted(map(tuple, tables.read_table(spark, f"{root}/outcomes").collect()))
+    root = fresh_path(spark, "sf")
+
+    def run():
+        ck = fresh_path(spark, "ck")
+        catalog.deliver(spark, catalog._entry_feed(spark, SF),
+                        lambda feed: streams.stream_consolidate(feed, root, ck), deliveries=2)
+        return sorted(map(tuple, tables.read_table(spark, f"{root}/outcomes").collect()))
+
+    first = run()
     # a second run with a fresh checkpoint replays every batch into the same folders
-    streams.stream_consolidate(streams.read_write_stream(spark, feed, 1), root, fresh_path(spark, "ck"))
-    again = sorted(map(tuple, tables.read_table(spark, f"{root}/outcomes").collect()))
-    assert first == again
+    assert run() == first
     assert streams.latest_batch(spark, f"{root}/live") == 1
