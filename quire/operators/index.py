@@ -8,9 +8,15 @@ docs       (entry_id, topic, dl, line)   every entry, token-less ones included;
                                          reference's index keeps it, so a
                                          search can render and boost its
                                          hits without the entries table
-term_stats (term, df)                    posting-list lengths
+term_stats (term, df, first_bucket, last_bucket)  posting-list lengths and places
 stats      (n_docs, total_tokens, avg_dl) one row
 
+A written index is clustered by term: postings are range-partitioned by
+(term, entry_id) into ``bucket`` folders, a hot term over several of them.
+A search joins its terms with ``term_stats`` and reads only their buckets,
+once; the two statistics tables are written with the index. An index that
+is not written (fresh from ``build_index`` or ``refresh_index``) derives them.
+
 Building is narrow up to one aggregation: tokens are exploded per entry and
 counted by (term, entry_id); the partial aggregate runs map-side, so the
 shuffle carries distinct (entry, term) pairs, not token occurrences.
@@ -24,20 +30,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import tokenize
+from quire.session import discard, fresh_path
+
+POSTINGS_SCHEMA = "term string, entry_id bigint, tf bigint, dl bigint, bucket int"
 
 
 @dataclass(frozen=True)
 class Bm25Index:
     postings: DataFrame
     docs: DataFrame
+    stored_stats: DataFrame | None = None
+    stored_terms: DataFrame | None = None
 
     @property
     def stats(self) -> DataFrame:
-        return corpus_stats(self.docs)
+        return corpus_stats(self.docs) if self.stored_stats is None else self.stored_stats
 
     @property
     def term_stats(self) -> DataFrame:
-        return term_stats(self.postings)
+        return term_stats(self.postings) if self.stored_terms is None else self.stored_terms
 
 
 def doc_tokens(entries: DataFrame, text_col: str = "line") -> DataFrame:
@@ -89,22 +100,31 @@ def build_index(entries: DataFrame, text_col: str = "line") -> Bm25Index:
 def write_index(index: Bm25Index, path: str) -> Bm25Index:
     """Persist the index as Parquet and return it read back.
 
-    Postings leave the (term, entry_id) aggregation hash-partitioned; each
-    partition is sorted by term before writing, so every row group covers a
-    narrow term range and the parquet min/max statistics let a scan with a
-    ``term IN (...)`` filter skip row groups holding none of the query
-    terms. No range repartition: its sampling pass would re-run the
-    tokenizer over the whole corpus.
-    """
+    The counted postings are written once before they are range-partitioned,
+    because choosing the ranges samples its input and would otherwise run the
+    tokenizer twice; that table is deleted once the clustered one is written."""
     spark = index.postings.sparkSession
-    (index.postings.sortWithinPartitions("term", "entry_id")
-     .write.mode("overwrite").parquet(f"{path}/postings"))
+    counted = fresh_path(spark, "postings")
+    index.postings.select("term", "entry_id", "tf", "dl").write.parquet(counted)
+    (spark.read.parquet(counted).repartitionByRange("term", "entry_id")
+     .withColumn("bucket", F.spark_partition_id()).sortWithinPartitions("term", "entry_id")
+     .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
+    discard(spark, counted)
     index.docs.write.mode("overwrite").parquet(f"{path}/docs")
+    written = read_index(spark, path, stored=False)
+    corpus_stats(written.docs).write.mode("overwrite").parquet(f"{path}/stats")
+    (written.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.min("bucket").alias("first_bucket"),
+                                          F.max("bucket").alias("last_bucket"))
+     .write.mode("overwrite").parquet(f"{path}/term_stats"))
     return read_index(spark, path)
 
 
-def read_index(spark, path: str) -> Bm25Index:
-    return Bm25Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/docs"))
+def read_index(spark, path: str, stored: bool = True) -> Bm25Index:
+    postings = spark.read.schema(POSTINGS_SCHEMA).parquet(f"{path}/postings")
+    docs = spark.read.parquet(f"{path}/docs")
+    if not stored:
+        return Bm25Index(postings, docs)
+    return Bm25Index(postings, docs, spark.read.parquet(f"{path}/stats"), spark.read.parquet(f"{path}/term_stats"))
 
 
 def refresh_index(index: Bm25Index, removed_ids: DataFrame, added_entries: DataFrame,

@@ -1,8 +1,10 @@
 """BM25 search for a batch of queries (D5) and its boosted variant (D6).
 
-Plan: query terms (query_id, term, qtf) are small and broadcast behind a
-size check, so the postings never shuffle by term (a hot term would put all
-its postings on one reducer). The join output is summed per
+Plan: query terms (query_id, term, qtf) join the index's term statistics and
+become weights, written once. The buckets that hold their terms are the only
+part of the postings read, in one scan. Weights up to a size in bytes are
+broadcast, so the postings never shuffle by term (a hot term would put all
+its postings on one reducer; beyond that size AQE splits it). The join output is summed per
 (query_id, entry_id) with a map-side partial aggregate, and the top-k per
 query uses ``row_number() <= k``, which Spark plans with a WindowGroupLimit
 before the shuffle, so each reducer sees at most k rows per query and
@@ -15,25 +17,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.scoring import (
-    BM25_B, BM25_K1, CANDIDATE_DEPTH, DEFAULT_LIMIT, SCORE_DIGITS, bm25_weight, boost, idf,
+    BM25_B, BM25_K1, CANDIDATE_DEPTH, DEFAULT_LIMIT, SCORE_DIGITS, boost, idf,
 )
 from quire.functions.text import tokenize
 from quire.operators.index import Bm25Index
-from quire.operators.sizing import BROADCAST_MAX_ROWS
-
-# Up to this many distinct query terms are also pushed into the postings
-# scan as an IN filter, so parquet min/max statistics skip row groups.
-PUSHDOWN_MAX_TERMS = 20_000
-
-
-def in_list(col: str, values: list[str]) -> F.Column:
-    """``col IN (...)`` built as one SQL expression (one call into the JVM
-    rather than one per literal); pushed to the parquet scan."""
-    if not values:
-        return F.lit(False)
-    quoted = ",".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
-    return F.expr(f"`{col}` IN ({quoted})")
-
+from quire.operators.sizing import BROADCAST_MAX_ROWS, bounded_broadcast
+from quire.session import cut_lineage
 
 def query_terms(queries: DataFrame, text_col: str = "query") -> DataFrame:
     """(query_id, term, qtf). Repeated query terms each add score, so they
@@ -55,21 +44,32 @@ def ranked(df: DataFrame, score_col: str, k: int, partition_col: str = "query_id
         .withColumn(rank_col, F.col(rank_col).cast("bigint"))
 
 
-def query_term_stats(qt: DataFrame) -> tuple[int, int, list[str] | None]:
-    """(rows, queries, terms-or-None) of a query-term table in one job,
-    plus one bounded collect of the distinct terms when they are few."""
-    st = qt.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("query_id").alias("q"),
-                F.countDistinct("term").alias("t")).first()
-    terms = None
-    if st.t <= PUSHDOWN_MAX_TERMS:
-        # Bounded: at most PUSHDOWN_MAX_TERMS short strings reach the driver.
-        terms = [r.term for r in qt.select("term").distinct().collect()]
-    return int(st.n), int(st.q), terms
+def query_weights(index: Bm25Index, queries: DataFrame, text_col: str = "query") -> DataFrame:
+    """(query_id, term, qw, first_bucket, last_bucket): qtf * idf of every
+    query term the index holds, written once (an eager job), so that its size
+    and its buckets are read from a small table."""
+    n_docs = index.stats.select("n_docs").scalar()
+    terms = index.term_stats
+    for c in ("first_bucket", "last_bucket"):
+        if c not in terms.columns:
+            terms = terms.withColumn(c, F.lit(None).cast("int"))
+    return cut_lineage(query_terms(queries, text_col).join(terms, "term").select(
+        "query_id", "term", (F.col("qtf") * idf(n_docs, F.col("df"))).alias("qw"), "first_bucket", "last_bucket"),
+        "query-weights")
+
+
+def postings_of(index: Bm25Index, weights: DataFrame) -> DataFrame:
+    """The postings' buckets that hold any of the terms: at most one integer
+    per bucket of the index reaches the driver, as a partition filter."""
+    if index.stored_terms is None:
+        return index.postings
+    held = weights.select(F.explode(F.sequence("first_bucket", "last_bucket")).alias("b")).distinct()
+    return index.postings.where(F.col("bucket").isin([r.b for r in held.collect()]))
 
 
 def bm25_scores(index: Bm25Index, queries: DataFrame, k1: float = BM25_K1,
                 b: float = BM25_B, text_col: str = "query",
-                _stats: tuple[int, int, list[str] | None] | None = None) -> DataFrame:
+                weights: DataFrame | None = None) -> DataFrame:
     """(entry_id, query_id, score) for every entry sharing a term with the query.
 
     score = sum over query-term occurrences of idf(term) * tfn(entry, term),
@@ -77,34 +77,18 @@ def bm25_scores(index: Bm25Index, queries: DataFrame, k1: float = BM25_K1,
     once per posting and ``qtf * idf`` once per (query, term), so the large
     postings-times-queries join only multiplies and sums.
     """
-    spark = queries.sparkSession
-    qt = query_terms(queries, text_col)
-    n_rows, _, terms = _stats or query_term_stats(qt)
-    postings = index.postings
-    if terms is not None:
-        postings = postings.where(in_list("term", terms))
-    else:
-        distinct_terms = qt.select("term").distinct()
-        postings = postings.join(distinct_terms, "term", "left_semi")
-    stats = index.stats
-    n_docs = stats.select("n_docs").scalar()
-    avg_dl = stats.select("avg_dl").scalar()
-    # Per-term weight of each query: qtf * idf, df counted over the same
-    # filtered postings (one postings read serves both uses).
-    term_idf = postings.groupBy("term").agg(idf(n_docs, F.count(F.lit(1))).alias("idf"))
-    qw = qt.join(term_idf, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("qw"))
+    if weights is None:
+        weights = query_weights(index, queries, text_col)
+    avg_dl = index.stats.select("avg_dl").scalar()
     tfn = (F.col("tf").cast("double") * (k1 + 1.0)) / (
         F.col("tf").cast("double") + k1 * (1.0 - b + b * F.col("dl").cast("double") / avg_dl))
-    # Hash-partition the postings by entry (explicit count of at least two
-    # tasks per core, so AQE keeps the parallelism of this CPU-heavy stage
-    # and each task's aggregation map stays small): the broadcast join keeps that
-    # partitioning and the per-(entry, query) sum needs no second shuffle.
-    # The shuffle carries postings, not queries-times-postings rows.
-    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                  2 * spark.sparkContext.defaultParallelism)
-    weighted = postings.select("term", "entry_id", tfn.alias("tfn")).repartition(n_parts, "entry_id")
-    qw_side = F.broadcast(qw) if n_rows <= BROADCAST_MAX_ROWS else qw
-    contrib = weighted.join(qw_side, "term") \
+    side = bounded_broadcast(weights.select("query_id", "term", "qw"))
+    # Postings of other terms drop out in the bucket scan's own stage (a semi-join
+    # with the same small side); the rest are partitioned by entry, so the join
+    # keeps that partitioning and the per-(entry, query) sum needs no second
+    # shuffle. The shuffle carries postings, not queries-times-postings rows.
+    wanted = postings_of(index, weights).join(bounded_broadcast(weights.select("term").distinct()), "term", "left_semi")
+    contrib = wanted.select("term", "entry_id", tfn.alias("tfn")).repartition("entry_id").join(side, "term") \
         .select("entry_id", "query_id", (F.col("qw") * F.col("tfn")).alias("w"))
     return contrib.groupBy("entry_id", "query_id").agg(F.sum("w").alias("score"))
 
@@ -126,12 +110,13 @@ def bm25_candidates(index: Bm25Index, queries: DataFrame, k: int = CANDIDATE_DEP
                     with_info: bool = True) -> DataFrame:
     """Top ``k`` per query with the unrounded score (for further scoring);
     ``with_info=False`` skips attaching topic and line (ids and ranks only)."""
-    st = query_term_stats(query_terms(queries, text_col))
-    top = ranked(bm25_scores(index, queries, text_col=text_col, _stats=st), "score", k)
+    weights = query_weights(index, queries, text_col)
+    top = ranked(bm25_scores(index, queries, text_col=text_col, weights=weights), "score", k)
     if not with_info:
         return top
     # only queries with at least one term produce rows: queries x k bounds it
-    return with_doc_info(top, index.docs, entries, st[1] * k)
+    n_queries = weights.agg(F.countDistinct("query_id").alias("n")).first().n
+    return with_doc_info(top, index.docs, entries, n_queries * k)
 
 
 def bm25_topk(index: Bm25Index, queries: DataFrame, k: int = CANDIDATE_DEPTH,
