@@ -86,9 +86,14 @@ def bm25_scores(index: Bm25Index, queries: DataFrame, k1: float = BM25_K1,
     # Postings of other terms drop out in the bucket scan's own stage (a semi-join
     # with the same small side); the rest are partitioned by entry, so the join
     # keeps that partitioning and the per-(entry, query) sum needs no second
-    # shuffle. The shuffle carries postings, not queries-times-postings rows.
+    # shuffle. The shuffle carries postings, not queries-times-postings rows; the
+    # count is explicit because AQE would merge partitions by the postings' bytes,
+    # while the work of this stage is their product with the queries.
+    spark = queries.sparkSession
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                  2 * spark.sparkContext.defaultParallelism)
     wanted = postings_of(index, weights).join(bounded_broadcast(weights.select("term").distinct()), "term", "left_semi")
-    contrib = wanted.select("term", "entry_id", tfn.alias("tfn")).repartition("entry_id").join(side, "term") \
+    contrib = wanted.select("term", "entry_id", tfn.alias("tfn")).repartition(n_parts, "entry_id").join(side, "term") \
         .select("entry_id", "query_id", (F.col("qw") * F.col("tfn")).alias("w"))
     return contrib.groupBy("entry_id", "query_id").agg(F.sum("w").alias("score"))
 
