@@ -146,6 +146,23 @@ def test_cosine_topk_blocked_path_equals_broadcast(spark, monkeypatch):
     assert got == want and len(got) == 60
 
 
+def test_products_of_several_query_chunks(monkeypatch):
+    """More queries than one product holds: the same local top-k."""
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(4)
+    rows_ = pd.DataFrame({"entry_id": range(30), "v": list(rng.integers(0, 5, (30, 8)).astype(float))})
+    q = similarity._matrix(pd.Series(list(rng.integers(0, 5, (11, 8)).astype(float))))
+
+    def run():
+        out = pd.concat(similarity._topk_fn(np.arange(11), q, 3, "entry_id", [], "v")(iter([rows_])))
+        return sorted(zip(out["query_id"], out["entry_id"], out["sim"].round(9)))
+
+    want = run()
+    monkeypatch.setattr(similarity, "PRODUCT_CELLS", 60)  # two queries a product
+    assert run() == want and len(want) >= 33
+
+
 def test_topk_keeps_all_near_ties(spark):
     """More ties below the best than any slack, and the best with the largest id."""
     import numpy as np
