@@ -1,8 +1,8 @@
 """Secret scans in DataFrame functions only: fixed patterns, and a battery of
 randomness tests over long tokens.
 
-A token (a run of 20 or more letters, digits and ``+/_=-`` with a digit in it)
-is taken as hex, base32 or base64, and tested against a uniform source over
+A token (a run of 20 or more letters, digits and ``+/_-``, with any ``=`` that
+pad it; a value after ``=`` is a token of its own) is taken as hex, base32 or base64, and tested against a uniform source over
 that alphabet: chi-squared uniformity, runs above and below the middle, lag-1
 serial correlation. The three p-values are combined by Fisher's method.
 Tokens that look random are findings. How many of them are false is estimated
@@ -24,8 +24,8 @@ from quire.llm.common import materialise, row_key
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-# the start of a run, a digit in it, the run
-RANDOM = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
+# the start of a run, the run, its padding: '=' that nothing follows
+RANDOM = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?:={1,6}(?![A-Za-z0-9+/_=-]))?"
 KINDS = [("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("random", RANDOM)]
 MIN_VALUE = 12  # characters of an assigned value
 

@@ -234,6 +234,25 @@ def test_battery_tells_random_from_text(spark):
     assert len(found & set(range(200, 400))) <= 10
 
 
+def test_random_values_after_an_equals_sign(spark):
+    rng = random.Random(12)
+    letters = secrets.ALPHABETS["base64"][:52]
+    forms = ["AWS_ACCESS={}", "https://h.example/x?sig={}&v=1", "run --auth={} now", "THE_LONG_NAME_OF_A_VARIABLE={}", "{}"]
+    docs, spans = [], {}
+    for i in range(400):
+        form = forms[i % 5]  # the last one without any digit
+        value = "".join(rng.choice(letters if form == "{}" else secrets.ALPHABETS["base64"]) for _ in range(40))
+        value += "=" * (i % 3)
+        at = form.index("{}")
+        docs.append((i, form.format(value)))
+        spans[i] = f"random:{at}:{at + len(value)}"
+    found = {r.doc_id for r in secrets.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+             if spans[r.doc_id] in r.spans.split(",")}
+    for k in range(4):
+        assert sum(i % 5 == k for i in found) >= 60  # of 80 each
+    assert any(i % 5 == 4 for i in found)
+
+
 def test_redact(spark, edge, empty):
     df = spark.createDataFrame(list(enumerate(SECRET_TEXTS)), "doc_id long, text string")
     rows = dict(map(tuple, secrets.redact(df).collect()))
