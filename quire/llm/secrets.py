@@ -7,9 +7,12 @@ that alphabet: chi-squared uniformity, runs above and below the middle, lag-1
 serial correlation. The three p-values are combined by Fisher's method.
 Tokens that look random are findings. How many of them are false is estimated
 for each encoding and length class: the tokens with p above one half, doubled,
-estimate the random ones, and the class's threshold is the smallest p at which
-the estimated share of others among the tokens above it is at most the given
-rate. Tests of short tokens reject less, so their classes get higher thresholds.
+estimate the random ones. The class's threshold is the smallest p with tokens
+above it at which the share of others among them may still be at most the given
+rate, the random ones taken at the upper 95 % limit of their estimate. So a
+class too small to tell keeps the smallest threshold (a lone random token is
+found), and in a large one the limit nears the estimate. Tests of short tokens
+reject less, so their classes get higher thresholds.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ ALPHABETS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
 THRESHOLDS = [0.001, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5]
+Z_LIMIT = 1.645  # one-sided 95 % limit of a count
 
 
 def _upper_tail(z: Column) -> Column:
@@ -96,11 +100,12 @@ def thresholds(tested: DataFrame, rate: float) -> DataFrame:
     classes each time the length doubles."""
     counts = tested.where("p is not null").groupBy("encoding", "length_class").agg(
         *[F.sum(F.when(F.col("p") > t, 1).otherwise(0)).alias(f"c{i}") for i, t in enumerate(THRESHOLDS)])
-    random = F.lit(2.0) * F.col(f"c{len(THRESHOLDS) - 1}")
+    half = F.col(f"c{len(THRESHOLDS) - 1}")
+    random = F.lit(2.0) * (half + F.lit(Z_LIMIT ** 2 / 2) + F.lit(Z_LIMIT) * F.sqrt(half + F.lit(Z_LIMIT ** 2 / 4)))
     best = F.lit(THRESHOLDS[-1])
     for i, t in reversed(list(enumerate(THRESHOLDS))):
         above = F.col(f"c{i}")
-        best = F.when(above - random * (1 - t) <= F.lit(rate) * above, F.lit(t)).otherwise(best)
+        best = F.when((above > 0) & (above - random * (1 - t) <= F.lit(rate) * above), F.lit(t)).otherwise(best)
     return counts.select("encoding", "length_class", best.alias("threshold"))
 
 

@@ -253,6 +253,32 @@ def test_random_values_after_an_equals_sign(spark):
     assert any(i % 5 == 4 for i in found)
 
 
+def test_lone_random_tokens_are_found(spark):
+    rng = random.Random(21)
+    lengths = [20, 24, 36, 48, 70, 100, 140, 200]  # a length class each
+    tokens = ["".join(rng.choice(secrets.ALPHABETS[k]) for _ in range(n)) for k in ("hex", "base32", "base64")
+              for n in lengths]
+    df = spark.createDataFrame([(i, f"see {t} here") for i, t in enumerate(tokens)], "doc_id long, text string")
+    tested = {r.token: r for r in secrets.battery(spark.createDataFrame([(t,) for t in tokens], "token string")).collect()}
+    assert len({(r.encoding, r.length_class) for r in tested.values()}) == len(tokens)
+    rows = {r.doc_id: r.spans.split(",") for r in secrets.scan(df).collect()}
+    found = [t for i, t in enumerate(tokens) if f"random:4:{4 + len(t)}" in rows[i]]
+    assert found == [t for t in tokens if tested[t].p > secrets.THRESHOLDS[0]]  # that of one in 1,000 or so is less
+    assert len(found) >= 23
+
+
+def test_thresholds_of_small_and_large_classes(spark):
+    rng = random.Random(22)
+    classes = [[0.02], [0.4, 0.01], [rng.random() for _ in range(20)],
+               [0.003] * 40,                                              # clearly not random
+               [rng.random() for _ in range(400)] + [0.15 * rng.random() for _ in range(400)]]
+    df = spark.createDataFrame([("hex", k, p) for k, ps in enumerate(classes) for p in ps],
+                               "encoding string, length_class int, p double")
+    got = {r.length_class: r.threshold for r in secrets.thresholds(df, 0.05).collect()}
+    assert got[0] == got[1] == got[2] == secrets.THRESHOLDS[0]
+    assert got[3] >= 0.005 and 0.1 <= got[4] <= 0.2
+
+
 def test_redact(spark, edge, empty):
     df = spark.createDataFrame(list(enumerate(SECRET_TEXTS)), "doc_id long, text string")
     rows = dict(map(tuple, secrets.redact(df).collect()))
