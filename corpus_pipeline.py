@@ -28,8 +28,9 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality.drop_rejected(docs)
+    """Documents that the quality rules keep, without the lines that too many
+    of their host share."""
+    return _counted(quality.drop_rejected(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

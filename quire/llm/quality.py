@@ -93,6 +93,15 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
     Edge cases: a null text is empty and fails the base rules; a null host is
     the host named ''; repeated rows get equal results; a null doc_id stays
     null; an empty table gives an empty result; other columns are not read."""
+    return _assess(docs, id_col, text_col, host_col, min_words, max_repeat_pct, min_line_docs, line_share,
+                   min_left).drop("host", "cuts")
+
+
+def _assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
+            min_words: int = 50, max_repeat_pct: int = 50, min_line_docs: int = 20, line_share: float = 0.01,
+            min_left: float = 0.3) -> DataFrame:
+    """:func:`assess` with the row's ``host`` and ``cuts``, the places (from 0,
+    ascending) of its lines above the limit, null where it has none."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     doc_id = F.col(id_col).cast("bigint")
 
@@ -113,28 +122,41 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
     common = materialise(line_counts(docs, text_col, host_col).where(F.col("n_docs") > min_line_docs)
                          .join(limits, "host").where(F.col("n_docs") > F.col("limit")).select("host", "line_key"),
                          "common-lines")
-    lines = docs.select(_host(host_col), row_key(doc_id, text), F.explode(F.split(text, "\n")).alias("line")) \
-        .select("host", "row_key", normal_line(F.col("line")).alias("line")).where("line <> ''") \
-        .select("host", "row_key", F.unhex(F.md5("line")).alias("line_key"), _words_in(F.col("line")).alias("words"))
-    gone = lines.join(common, ["host", "line_key"]).groupBy("row_key").agg(F.sum("words").alias("gone"))
+    lines = docs.select(_host(host_col), row_key(doc_id, text),
+                        F.posexplode(F.split(text, "\n")).alias("place", "line")) \
+        .select("host", "row_key", "place", normal_line(F.col("line")).alias("line")).where("line <> ''") \
+        .select("host", "row_key", "place", F.unhex(F.md5("line")).alias("line_key"),
+                _words_in(F.col("line")).alias("words"))
+    gone = lines.join(common, ["host", "line_key"]).groupBy("row_key", "host") \
+        .agg(F.sum("words").alias("gone"), F.sort_array(F.collect_set("place")).alias("cuts"))
     # a row that occurs k times has each of its lines k times: take the share of one
-    copies = docs.select(row_key(doc_id, text)).groupBy("row_key").agg(F.count(F.lit(1)).alias("copies")) \
-        .where("copies > 1")
-    gone = gone.join(copies, "row_key", "left") \
-        .select("row_key", (F.col("gone") / F.coalesce("copies", F.lit(1))).cast("bigint").alias("gone"))
+    copies = docs.select(row_key(doc_id, text), _host(host_col)).groupBy("row_key", "host") \
+        .agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    gone = gone.join(copies, ["row_key", "host"], "left") \
+        .select("row_key", "host", (F.col("gone") / F.coalesce("copies", F.lit(1))).cast("bigint").alias("gone"), "cuts")
     left = F.col("n_words") - F.coalesce("gone", F.lit(0))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
-    return base.join(gone, "row_key", "left") \
-        .select("row_key", "doc_id", *_FEATURES, left.alias("n_words_left"), failed.alias("base_failed")) \
+    return base.join(gone, ["row_key", "host"], "left") \
+        .select("row_key", "doc_id", *_FEATURES, left.alias("n_words_left"), failed.alias("base_failed"), "host", "cuts") \
         .withColumn("kept", ~F.col("base_failed") & (F.col("n_words_left") >= F.lit(min_left) * F.col("n_words")))
 
 
 def drop_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
                   **rules) -> DataFrame:
-    """The rows of ``docs`` that :func:`assess` keeps, all columns, texts as
-    they were; repeated rows stay repeated."""
-    bad = assess(docs, id_col, text_col, host_col, **rules).where("not kept").select("row_key").distinct()
+    """The rows of ``docs`` that :func:`assess` keeps, all columns, their texts
+    without the lines above the limit; repeated rows stay repeated. Only the
+    places of such lines are gathered, and only for rows that have some."""
+    marks = _assess(docs, id_col, text_col, host_col, **rules).where("not kept or cuts is not null") \
+        .select("row_key", "host", "kept", "cuts").dropDuplicates(["row_key", "host"])
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"),
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), _host(host_col),
                          row_key(F.col(id_col).cast("bigint"), text))
-    return packed.join(bad, "row_key", "left_anti").select([F.col("row")[c].alias(c) for c in docs.columns])
+    left = packed.join(marks, ["row_key", "host"], "left").where("kept is null or kept") \
+        .withColumn("lines", F.when(F.col("cuts").isNotNull(), F.split(F.col("row")[text_col], "\n")))
+    between = F.expr("transform(cuts, (c, i) -> slice(lines, if(i = 0, -1, cuts[i - 1]) + 2, "
+                     "c - if(i = 0, -1, cuts[i - 1]) - 1))")
+    tail = F.expr("slice(lines, cuts[size(cuts) - 1] + 2, size(lines))")
+    rest = F.array_join(F.concat(F.flatten(between), tail), "\n")
+    return left.select(
+        [(F.when(F.col("cuts").isNotNull(), rest).otherwise(F.col("row")[c]) if c == text_col else F.col("row")[c])
+         .alias(c) for c in docs.columns])

@@ -414,6 +414,41 @@ def test_line_rule(spark, edge, empty):
     assert quality.assess(empty).count() == 0
 
 
+def test_lines_above_the_limit_are_cut(spark):
+    import corpus_pipeline
+    rng = random.Random(16)
+    menu, notice, few = "Home  about CONTACT us", "All rights reserved.", "Only some have this line"
+    rows = []
+    for i in range(40):
+        body = [words(rng, 40) for _ in range(3)]
+        text = "\n".join([[menu, *body, notice], [body[0], " home about\tcontact US ", "", notice, notice, *body[1:]],
+                          [*body, "", notice], [notice, menu, *body]][i % 4] + [few] * (i < 20))
+        rows.append((i, text, "h" if i % 2 else None, i))
+    rows += [(100 + i, words(rng, 60) + "\n" + menu, "other", i) for i in range(5)]  # not common there
+    rows += [rows[3], rows[3], (3, rows[3][1], "other", 3), (200, "\n".join([menu] * 30 + [words(rng, 20)]), "h", 0)]
+
+    def normal(line):
+        return re.sub(r"[\x20\x09-\x0D]+", " ", line.lower()).strip(" ")
+
+    holders = collections.defaultdict(set)
+    for _, t, host, _ in rows:
+        for line in t.split("\n"):
+            holders[host, normal(line)].add(t)
+    expected = []
+    for i, t, host, n in rows:
+        lines = [x for x in t.split("\n") if not normal(x) or len(holders[host, normal(x)]) <= 6]
+        if len(" ".join(lines).split()) >= 0.3 * len(t.split()):
+            expected.append((i, "\n".join(lines), host, n))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    got = [tuple(r) for r in quality.drop_rejected(df, min_line_docs=6).collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+    assert 200 not in {g[0] for g in got} and sum(g[1] != r[1] for g in got for r in rows[:40] if g[0] == r[0]) >= 40
+    common = [(i, f"{words(rng, 60)}\n{menu}", "h", 0) for i in range(30)]
+    out = corpus_pipeline.quality_rules(spark, spark.createDataFrame(common, df.schema), SF).collect()
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in out) == \
+        [(i, t.split("\n")[0], len(t.split("\n")[0])) for i, t, _, _ in common]
+
+
 # ---------------------------------------------------- token files, packing --
 
 @pytest.fixture(scope="module")
