@@ -40,6 +40,10 @@ def file_schema(length: int = LENGTH, bits: int = 16) -> pa.Schema:
     return pa.schema([("ids", pa.list_(ids, length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
+def id_bits(largest: int) -> int:
+    return 16 if largest <= np.iinfo(np.uint16).max else 32
+
+
 class TokenFileWriter:
     """Streams ids into one file; memory holds one record batch."""
 
@@ -56,6 +60,8 @@ class TokenFileWriter:
         self.n_held = self.n_ids = self.n_docs = 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        if len(ids) and int(ids.max()) > np.iinfo(self.kind).max:
+            raise ValueError(f"id {int(ids.max())} does not fit {8 * self.kind.itemsize} bits")
         self.rows.append((doc_id, self.n_ids, len(ids)))
         self.held.append(ids.astype(self.kind))
         self.n_ids += len(ids)
@@ -139,7 +145,7 @@ class TokenFile:
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = 2,
-                      length: int = LENGTH, bits: int = 16, id_col: str = "doc_id",
+                      length: int = LENGTH, bits: int | None = None, id_col: str = "doc_id",
                       text_col: str = "text") -> DataFrame:
     """Tokenise every whole text, append ``end_id`` and write the ids in
     ascending doc_id order. Returns the manifest, one row a file: (part, path,
@@ -148,7 +154,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
     Documents are range-partitioned by doc_id and each task streams its range
     into a file of its own name; the manifest, written by Spark, names the
     files of the attempts that succeeded, so a retried task leaves no trace in
-    the result. ``path`` is a folder every executor can write (default: a new
+    the result. ``bits`` is 16 or 32; by default 16 if the tokenizer's largest
+    id and ``end_id`` fit, else 32. An id that does not fit is an error.
+    ``path`` is a folder every executor can write (default: a new
     one under spark.checkpoint.dir).
 
     Edge cases: a null or blank text is the end id alone; null doc_ids come
@@ -169,7 +177,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
             if out is None:
                 name = f"{folder}/tokens-{part:06d}-{uuid.uuid4().hex[:12]}.arrow"
                 _make_folder(folder)
-                out = TokenFileWriter(name, length, bits)
+                out = TokenFileWriter(name, length, bits or id_bits(max(enc.largest, end_id)))
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text").to_pylist())):
                 out.add(doc_id, np.frombuffer(ids + end, dtype=kind))
         if out is not None:

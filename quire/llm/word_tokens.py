@@ -79,7 +79,8 @@ class PieceEncoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         vocabulary = self.tokenizer.get_vocab()
-        size = max(vocabulary.values()) + 1
+        self.largest = max(vocabulary.values())
+        size = self.largest + 1
         self.kind = np.uint16 if size <= 1 << 16 else np.uint32
         self.closes = np.zeros(size, dtype=bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True

@@ -491,6 +491,17 @@ def test_token_files_round_trip(edge, empty, tokenizer):
     assert token_files.read_token_files(token_files.write_token_files(empty, WORDS)).count() == 0
 
 
+def test_token_files_of_large_ids(edge, tokenizer, tmp_path):
+    got = token_files.read_token_files(token_files.write_token_files(edge, WORDS, end_id=70_000, length=64)).collect()
+    want = [(i, zlib.crc32(ids_of(tokenizer, t, 70_000).astype("<u4").tobytes())) for i, t in texts_of(edge_rows())]
+    assert sorted(((r.doc_id, r.ids_crc32) for r in got), key=str) == sorted(want, key=str)
+    assert [token_files.id_bits(n) for n in (65_535, 65_536)] == [16, 32]
+    writer = token_files.TokenFileWriter(str(tmp_path / "t.arrow"), 64, 16)
+    writer.add(1, np.array([65_535], "<u4"))
+    with pytest.raises(ValueError):
+        writer.add(2, np.array([65_536], "<u4"))
+
+
 def test_packing(edge, empty, tokenizer):
     rows = packing.pack(edge, WORDS, capacity=64, end_id=0, group=40).collect()
     want = []
