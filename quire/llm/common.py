@@ -34,6 +34,12 @@ def doc_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one struct named ``row``; names may hold dots
+    or back-ticks."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row")
+
+
 def text_key(text: Column) -> Column:
     """128-bit identity of a text."""
     return F.unhex(F.md5(text))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialise, row_key
+from quire.llm.common import materialise, row_key, whole_row
 
 _SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 _SYMBOLS = b"#*$%&|<>"
@@ -149,7 +149,7 @@ def drop_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     marks = _assess(docs, id_col, text_col, host_col, **rules).where("not kept or cuts is not null") \
         .select("row_key", "host", "kept", "cuts").dropDuplicates(["row_key", "host"])
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), _host(host_col),
+    packed = docs.select(whole_row(docs), _host(host_col),
                          row_key(F.col(id_col).cast("bigint"), text))
     left = packed.join(marks, ["row_key", "host"], "left").where("kept is null or kept") \
         .withColumn("lines", F.when(F.col("cuts").isNotNull(), F.split(F.col("row")[text_col], "\n")))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quire.llm.common import materialise, row_key
+from quire.llm.common import materialise, row_key, whole_row
 
 # fixed values: the base patterns
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -188,7 +188,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
         .groupBy("row_key", "island").agg(F.min("s").alias("s"), F.max("e").alias("e")) \
         .groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("cuts"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"),
+    packed = docs.select(whole_row(docs),
                          row_key(F.col(id_col).cast("bigint"), text), text.alias("whole"))
     between = F.expr("transform(cuts, (c, i) -> substring(whole, cast(if(i = 0, 0L, cuts[i - 1].e) + 1 as int), "
                      "cast(c.s - if(i = 0, 0L, cuts[i - 1].e) as int)))")

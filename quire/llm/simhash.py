@@ -10,7 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import doc_texts, materialise, row_key, shuffle_width, sorted_runs, to_batch
+from quire.llm.common import (doc_texts, materialise, row_key, shuffle_width, sorted_runs, to_batch,
+                              whole_row)
 from quire.llm.graph import components
 
 SEED = 42
@@ -192,7 +193,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     winners = best.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(F.min("best").alias("best")) \
         .select(F.col("best.row_key").alias("row_key"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"),
+    packed = docs.select(whole_row(docs),
                          row_key(F.col(id_col).cast("bigint"), text))
     return packed.join(winners, "row_key", "left_semi").dropDuplicates(["row_key"]) \
         .select([F.col("row")[c].alias(c) for c in docs.columns])

@@ -34,11 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import (list_lengths, materialise, release_shuffles, shuffle_width, sorted_runs, text_key,
-                              to_batch)
+                              to_batch, whole_row)
 
-# fixed values: a perfect difference set, every residue mod 183 is a difference of two members
-PERIOD = 183
-COVER = np.array([0, 1, 3, 16, 23, 28, 42, 76, 82, 86, 119, 137, 154, 175])
+# fixed values: perfect difference sets, every residue mod the period is a difference of two members
+COVERS = {183: np.array([0, 1, 3, 16, 23, 28, 42, 76, 82, 86, 119, 137, 154, 175]),
+          91: np.array([0, 1, 3, 9, 27, 49, 56, 61, 77, 81]),
+          31: np.array([0, 1, 3, 8, 12, 18])}
 _BLOCK = 1 << 20  # bytes of one text hashed at once
 
 _ONCE, _AGAIN = -1, -2  # a window's first place in its text: the only one, or of several
@@ -93,22 +94,31 @@ def _window_hash(seed: int, length: int) -> WindowHash:
     return _HASHES[seed, length]
 
 
-def _cover_places(n: int, window: int) -> np.ndarray:
+def _period(length: int) -> int:
+    """The longest period of which a window is longer: fewest cover places, and
+    windows long enough that texts seldom share one by chance."""
+    fitting = [v for v in COVERS if 2 * v <= length]
+    if not fitting:
+        raise ValueError(f"length must be at least {2 * min(COVERS)}")
+    return max(fitting)
+
+
+def _cover_places(n: int, window: int, period: int) -> np.ndarray:
     """Cover places of a text of n bytes that have a whole window ahead."""
     if n < window:
         return np.empty(0, dtype=np.int64)
-    places = (np.arange(0, n - window + 1, PERIOD)[:, None] + COVER[None, :]).ravel()
+    places = (np.arange(0, n - window + 1, period)[:, None] + COVERS[period][None, :]).ravel()
     return places[places <= n - window]
 
 
-def _samples(window: int):
+def _samples(window: int, period: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _window_hash(1, window)
         for b in batches:
             out, held = [], 0
             for ord_, raw in zip(b.column("ord").to_pylist(), b.column("raw")):
                 text = np.frombuffer(raw.as_buffer(), dtype=np.uint8)
-                places = _cover_places(len(text), window)
+                places = _cover_places(len(text), window, period)
                 h = hashes(text, places)
                 _, at, which, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
                 first = places[at][which]  # places ascend, so this is the window's first place in the text
@@ -190,6 +200,8 @@ def _proved(window: int, length: int):
 def _suffixes(window: int, length: int, block: int, blocks: int):
     """Suffixes of one block (a share of the hash range) with a repeated cover
     place ahead that no stretch has proved."""
+    period = length - window + 1
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = _window_hash(2, length), _window_hash(3, length)
         for b in batches:
@@ -198,7 +210,7 @@ def _suffixes(window: int, length: int, block: int, blocks: int):
                 text = np.frombuffer(raw.as_buffer(), dtype=np.uint8)
                 n = len(text) - length + 1
                 change = np.zeros(len(text) + 2, dtype=np.int32)
-                np.add.at(change, np.maximum(pos - PERIOD + 1, 0), 1)
+                np.add.at(change, np.maximum(pos - period + 1, 0), 1)
                 np.add.at(change, pos + 1, -1)
                 open_ = np.cumsum(change[:n]) > 0
                 s, e, _, _ = _stretches(ord_, pos, to_ord, to_pos, window, length)
@@ -273,9 +285,8 @@ def repeated_texts(docs: DataFrame, text_col: str = "text", length: int = 400, b
     The suffixes are sorted in ``blocks`` blocks, one after the other; that
     bounds the shuffle files that exist at a time."""
     spark = docs.sparkSession
-    window = length - PERIOD + 1
-    if window < 16:
-        raise ValueError(f"length must be at least {PERIOD + 15}")
+    period = _period(length)
+    window = length - period + 1
     parts = shuffle_width(docs)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
@@ -293,7 +304,7 @@ def repeated_texts(docs: DataFrame, text_col: str = "text", length: int = 400, b
         "k", F.octet_length("raw").cast("bigint").alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"),
         F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), F.lit("").alias("kept"))
     ties = step(
-        texts.select("ord", "raw").mapInArrow(_samples(window), "h bigint, ord bigint, pos bigint, first bigint")
+        texts.select("ord", "raw").mapInArrow(_samples(window, period), "h bigint, ord bigint, pos bigint, first bigint")
         .repartition(parts, "h").sortWithinPartitions("h", "ord", "pos")
         .mapInArrow(_tied, "ord bigint, pos bigint, to_ord bigint, to_pos bigint")
         .groupBy("ord").agg(*[F.collect_list(c).alias(c) for c in ("pos", "to_ord", "to_pos")]), "ties")
@@ -336,7 +347,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     stay. A character of which a byte is gone goes whole; a null text stays null."""
     cut = repeated_texts(docs, text_col, length).select(F.col("k").alias("row_key"), "kept")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), text_key(text).alias("row_key"))
+    packed = docs.select(whole_row(docs), text_key(text).alias("row_key"))
     return packed.join(cut, "row_key", "left").select(
         [(F.when(F.col("kept").isNotNull(), F.col("kept")).otherwise(F.col("row")[c]) if c == text_col else F.col("row")[c])
          .alias(c) for c in docs.columns])

@@ -359,7 +359,7 @@ def test_suffix_dedup_equals_brute_force(spark):
                                          rng.choice(passages)[rng.randrange(200):]]) for _ in range(rng.randrange(1, 5))))
     texts += [texts[-1], noise(500)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for length in (400, 230):
+    for length in (400, 230, 200, 64):
         got = [tuple(r)[1:] for r in sorted(suffix_dedup.repeated_bytes(df, length=length).collect())]
         assert got == removal_model(texts, length)
 
