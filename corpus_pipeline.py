@@ -19,6 +19,10 @@ from quire.llm.common import materialise
 from quire.llm.queries import documents, tokenizer_file
 
 
+#: a passage of 51 words has about 300 bytes; shorter strings than this are not removed
+REPEAT_BYTES = 200
+
+
 def _counted(docs: DataFrame) -> DataFrame:
     """``n_chars`` follows the text it describes."""
     if "n_chars" not in docs.columns:
@@ -39,8 +43,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the 400-byte strings that occur twice or more."""
-    return _counted(suffix_dedup.remove_repeats(docs, length=400))
+    """Texts without the strings of ``REPEAT_BYTES`` bytes that occur twice or more."""
+    return _counted(suffix_dedup.remove_repeats(docs, length=REPEAT_BYTES))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +65,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: SQL has neither SimHash nor the tokenizer; tests compare with a brute-force version.
+#: SQL has neither SimHash nor the tokenizer; tests/llm/test_pipeline.py compares all stages with a brute-force version.
 ORACLE_SQL = None
 
 
