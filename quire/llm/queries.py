@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import (byte_bpe, language, metric_search, packing, prefix_trie, quality, secrets, sharding, simhash,
-                       suffix_dedup, token_files)
+                       suffix_dedup, token_files, whitening)
 
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
 
@@ -81,6 +81,11 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"), rebuild=True)
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened embeddings, 32 components."""
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=32)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_mtree": op2_mtree,
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language": op9_language,
     "op10_packing": op10_packing,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE: dict[str, str] = {
