@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import (byte_bpe, language, metric_search, packing, prefix_trie, quality, secrets, sharding, simhash,
-                       suffix_dedup, token_files, whitening)
+from quire.llm import (byte_bpe, html_text, language, metric_search, packing, prefix_trie, quality, secrets, sharding,
+                       simhash, suffix_dedup, token_files, whitening)
 
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
 
@@ -76,6 +76,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
+def op11_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prefix trie of the rebuilt conversations."""
     return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"), rebuild=True)
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_language": op9_language,
     "op10_packing": op10_packing,
+    "op11_html": op11_html,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_whitening": op13_whitening,
 }
