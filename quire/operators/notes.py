@@ -14,6 +14,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.operators.edits import replay_edits
 from quire.functions.text import (
     contains_ci, flatten_newlines, is_entry_line, normalize_topic, render_entry,
 )
@@ -68,36 +69,31 @@ def forget(entries: DataFrame, topic: str, search: str) -> tuple[DataFrame, Data
 
 
 def first_matches(lines: DataFrame, requests: DataFrame) -> DataFrame:
-    """(topic, seq, new_line) of the first line (lowest seq) of each topic
-    equal to a requested ``old_line``. One edit per (topic, old_line): when
-    a request is repeated, the one with the lowest ``req_seq`` wins (lowest
-    ``new_line`` when there is no ``req_seq``).
+    """(topic, seq) of the first line (lowest seq) of each topic equal to a
+    requested ``old_line``.
 
     Uses min(seq) per (topic, line) — a partial aggregate, so a line repeated
     millions of times is reduced map-side rather than sorted in one task.
     """
-    if "new_line" not in requests.columns:
-        requests = requests.withColumn("new_line", F.lit(None).cast("string"))
-    pick = (F.min_by("new_line", "req_seq") if "req_seq" in requests.columns
-            else F.min("new_line"))
-    req = requests.groupBy("topic", "old_line").agg(pick.alias("new_line"))
+    req = requests.select("topic", F.col("old_line").alias("line")).distinct()
     first = lines.groupBy("topic", "line").agg(F.min("seq").alias("seq"))
-    return first.join(req.withColumnRenamed("old_line", "line"), ["topic", "line"]) \
-        .select("topic", "seq", "new_line")
+    return first.join(req, ["topic", "line"]).select("topic", "seq")
 
 
 def replace_first(lines: DataFrame, requests: DataFrame) -> DataFrame:
-    """Replace the first line equal to ``old_line`` with ``new_line`` in its
-    topic; other lines (including later copies) are unchanged."""
-    hit = first_matches(lines, requests).withColumnRenamed("new_line", "_new")
-    return lines.join(hit, ["topic", "seq"], "left") \
-        .withColumn("line", F.coalesce(F.col("_new"), F.col("line"))).drop("_new")
+    """Every request replaces the first line then equal to its ``old_line``
+    with ``new_line``, one after the other by ``req_seq`` (by old and new line
+    where there is none); see :func:`quire.operators.edits.replay_edits`."""
+    if "req_seq" not in requests.columns:
+        requests = requests.withColumn("req_seq", F.lit(0))
+    return replay_edits(lines, requests)[0]
 
 
 def remove_first(lines: DataFrame, requests: DataFrame) -> DataFrame:
-    """Remove the first line equal to ``old_line`` in its topic."""
-    hit = first_matches(lines, requests).select("topic", "seq")
-    return lines.join(hit, ["topic", "seq"], "left_anti")
+    """Every request removes the first line then equal to its ``old_line``."""
+    if "req_seq" not in requests.columns:
+        requests = requests.withColumn("req_seq", F.lit(0))
+    return replay_edits(lines, requests.withColumn("new_line", F.lit(None).cast("string")))[0]
 
 
 def is_blank(text: Column | str) -> Column:

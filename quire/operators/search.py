@@ -38,13 +38,18 @@ def query_vectors(queries: DataFrame, embed: Embedder | None = None, text_col: s
     return embed_frame(queries, text_col, ["query_id"], embed, dim)
 
 
+def _check_limits(limit: int, candidates: int) -> None:
+    for name, value in (("limit", limit), ("candidates", candidates)):
+        if isinstance(value, bool) or not isinstance(value, int) or value < 0:
+            raise ValueError(f"{name} must be a non-negative integer")
+
+
 def hybrid_search(index: Bm25Index, entries: DataFrame | None, vectors: DataFrame, queries: DataFrame,
                   as_of_epoch_day: int, limit: int = DEFAULT_LIMIT,
                   candidates: int = CANDIDATE_DEPTH, embed: Embedder | None = None,
                   dim: int = 64) -> DataFrame:
     """(query_id, rank, entry_id, topic, score): fused, boosted, top ``limit``."""
-    if limit < 0:
-        raise ValueError("limit must be a non-negative integer")
+    _check_limits(limit, candidates)
     lex = lexical.bm25_candidates(index, queries, candidates, with_info=False)
     qstats: dict = {}
     vectors = live_vectors(vectors, index.docs)  # a vector whose entry is gone must not fill the candidate list
@@ -72,6 +77,7 @@ def search(index: Bm25Index, entries: DataFrame | None, queries: DataFrame, as_o
            dim: int = 64) -> DataFrame:
     """``auto`` = hybrid when a vector table is given, else lexical (the
     reference's fallback). Output adds ``mode``, the path that ran."""
+    _check_limits(limit, candidates)
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     if mode == "auto":
@@ -84,7 +90,8 @@ def search(index: Bm25Index, entries: DataFrame | None, queries: DataFrame, as_o
         out = hybrid_search(index, entries, vectors, queries, as_of_epoch_day, limit, candidates,
                             embed, dim)
     else:
-        top = similarity.topk_cosine(vectors, query_vectors(queries, embed, dim=dim), candidates)
+        top = similarity.topk_cosine(live_vectors(vectors, index.docs), query_vectors(queries, embed, dim=dim),
+                                     candidates)
         info = lexical.with_doc_info(top.drop("topic"), index.docs, entries,
                                      queries.count() * candidates)
         scored = info.select("query_id", "entry_id", "topic",

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from quire.functions.hashing import DEFAULT_DIM, check_dim, hash_params, token_bin
 from quire.functions.text import tokenize
+from quire.session import cut_lineage
 
 Embedder = Callable[[Column], Column]
 
@@ -159,6 +160,7 @@ def upsert(vectors: DataFrame, updates: DataFrame, key: str = "entry_id",
         latest = updates.groupBy(key).agg(
             F.max_by(F.struct(*cols), version_col).alias("_row"))
         updates = latest.select(key, "_row.*")
+    updates = cut_lineage(updates, "updates")  # read twice; a lazy embedding runs once
     kept = vectors.join(updates.select(key), key, "left_anti")
     return kept.unionByName(updates.select(*vectors.columns))
 

@@ -15,7 +15,7 @@ from quire.functions.dates import epoch_day
 from quire.functions.scoring import SCORE_DIGITS, boost, idf
 from quire.functions.text import normalize_topic, parse_entry, render_entry, tokenize
 from quire.functions.scoring import cosine
-from quire.operators import consolidate, notes, search, similarity, vectors
+from quire.operators import consolidate, edits, notes, search, similarity, similarity_join, vectors
 from quire.operators.sizing import bounded_broadcast
 from quire.sources import notes_files, tables
 from quire.streaming import writes as streams
@@ -202,6 +202,27 @@ def q_remove_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes.remove_first(lines, duplicate_line_requests(lines)).select("topic", "seq", "line")
 
 
+def edit_requests(lines: DataFrame) -> DataFrame:
+    """For every line that occurs n > 1 times in its topic: n requests that mark
+    the copies ``[a]``, then one that turns the first of them to ``[b]``, then
+    one that removes the next, then one that finds nothing."""
+    many = lines.groupBy("topic", "line").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    a, b = F.concat("line", F.lit(" [a]")), F.concat("line", F.lit(" [b]"))
+    marks = many.select("topic", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("req_seq"),
+                        F.col("line").alias("old_line"), a.alias("new_line"))
+    none = F.lit(None).cast("string")
+    return marks.unionByName(many.select("topic", (F.col("n") + 1).alias("req_seq"), a.alias("old_line"), b.alias("new_line"))) \
+        .unionByName(many.select("topic", (F.col("n") + 2).alias("req_seq"), a.alias("old_line"), none.alias("new_line"))) \
+        .unionByName(many.select("topic", (F.col("n") + 3).alias("req_seq"), F.col("line").alias("old_line"), b.alias("new_line")))
+
+
+def q_edit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated and chained line edits, replayed in order."""
+    lines = fx.note_lines(spark, sf_dir)
+    after, _ = edits.replay_edits(lines, edit_requests(lines))
+    return after.select("topic", "seq", "line")
+
+
 def q_hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.hash_embed_sparse(fx.entries(spark, sf_dir), "line")
 
@@ -306,11 +327,12 @@ def q_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate join: every entry's class of equal vectors and its
+    number of links within the topic."""
     w = consolidate.prepare_writes(_writes(spark, sf_dir))
     q = cut_lineage(vectors.embed_frame(w, "body", ["topic", "seq", "entry_id"]), "vectors")
-    pairs = similarity.near_pairs(q, consolidate.SUPERSEDE_THRESHOLD)
-    return pairs.select("topic", F.col("id_a").alias("entry_a"), F.col("id_b").alias("entry_b"),
-                        F.round("sim", SCORE_DIGITS).alias("sim"))
+    links = similarity_join.near_links(q, consolidate.SUPERSEDE_THRESHOLD)
+    return links.select("topic", F.col("id").alias("entry_id"), "class_id", "class_size", "n_links")
 
 
 def q_consolidate_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -431,6 +453,7 @@ QUERIES: dict[str, QueryFn] = {
     "reaffirm_rollup": q_reaffirm_rollup,
     "replace_first": q_replace_first,
     "remove_first": q_remove_first,
+    "edit_log": q_edit_log,
     "bm25_topk": q_bm25_topk,
     "bm25_boosted": q_bm25_boosted,
 }

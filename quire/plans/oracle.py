@@ -262,6 +262,12 @@ FROM entries GROUP BY topic, body""",
 SELECT n.topic, n.seq, COALESCE(f.new_line, n.line) AS line
 FROM note_lines n LEFT JOIN firsts f ON n.topic = f.topic AND n.seq = f.seq""",
 
+    "edit_log": with_(NOTE_LINES) + """
+SELECT topic, seq, CASE WHEN n = 1 THEN line WHEN i = 1 THEN line || ' [b]' ELSE line || ' [a]' END AS line
+FROM (SELECT topic, seq, line, count(*) OVER (PARTITION BY topic, line) AS n,
+             row_number() OVER (PARTITION BY topic, line ORDER BY seq) AS i FROM note_lines)
+WHERE n = 1 OR i <> 2""",
+
     "remove_first": with_(NOTE_LINES) + """
 SELECT n.topic, n.seq, n.line FROM note_lines n ANTI JOIN firsts f ON n.topic = f.topic AND n.seq = f.seq""",
 })
@@ -438,10 +444,12 @@ ORACLE.update({
 SELECT id AS entry_id, match_id, round(sim, 6) AS sim FROM best""",
 
     "near_pairs": with_(ENTRIES, WRITES, hash_vectors("bvec", "writes", "entry_id", "body")) + """
-SELECT a.topic, a.entry_id AS entry_a, b.entry_id AS entry_b, round(""" + cos("av.v", "bv.v") + """, 6) AS sim
-FROM writes a JOIN writes b ON a.topic = b.topic AND a.seq < b.seq
+SELECT a.topic, a.entry_id, min_by(b.entry_id, b.seq) FILTER (WHERE bv.v = av.v) AS class_id,
+       count(*) FILTER (WHERE bv.v = av.v) AS class_size,
+       count(*) FILTER (WHERE a.seq <> b.seq AND """ + cos("av.v", "bv.v") + """ >= CAST(0.85 AS DOUBLE)) AS n_links
+FROM writes a JOIN writes b ON a.topic = b.topic
 JOIN bvec av ON av.entry_id = a.entry_id JOIN bvec bv ON bv.entry_id = b.entry_id
-WHERE """ + cos("av.v", "bv.v") + """ >= CAST(0.85 AS DOUBLE)""",
+GROUP BY a.topic, a.entry_id""",
 
     "consolidate_classify": with_(*_CONS) + """
 SELECT c.entry_id, c.topic, c.outcome,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from helpers import entries_df, queries_df
 from quire.functions import as_of_day
 from quire.operators import index as ix
-from quire.operators import lexical, search, similarity, vectors
+from quire.operators import lexical, search, similarity, similarity_join, vectors
 from quire.session import fresh_path
 
 
@@ -177,6 +177,33 @@ def test_topk_keeps_all_near_ties(spark):
     assert [r.entry_id for r in got] == [99]
 
 
+def test_topk_emits_k_rows_however_many_tie(spark):
+    import numpy as np
+    import pandas as pd
+    from quire.operators import similarity
+    batch = pd.DataFrame({"entry_id": np.arange(5_000)[::-1], "embedding": [[1.0, 2.0]] * 5_000})
+    run = similarity._topk_fn(np.array([7]), similarity._matrix(pd.Series([[2.0, 1.0]])), 20, "entry_id", [], "embedding")
+    out = pd.concat(run(iter([batch])))
+    assert sorted(out["entry_id"]) == list(range(20))
+
+
+def test_stale_vectors_are_not_found_in_any_mode(spark, tmp_dir):
+    from helpers import entries_df
+    entries = entries_df(spark, [("t", "2024-01-01", f"note number {i}", 1) for i in range(3)])
+    idx = ix.write_index(ix.build_index(entries), f"{tmp_dir}/stale")
+    vecs = vectors.embed_entries(entries)
+    stale = vecs.withColumn("entry_id", vecs.entry_id + 1_000)
+    for k in range(2, 12):
+        stale = stale.unionByName(vecs.withColumn("entry_id", vecs.entry_id + 1_000 * k))
+    q = spark.createDataFrame([(1, "note number 1")], "query_id bigint, query string")
+    for mode in ("vector", "hybrid"):
+        out = search.search(idx, None, q, as_of_day("2024-06-01"), vectors=vecs.unionByName(stale), mode=mode).collect()
+        assert len(out) == 3
+    for bad in (-1, 1.5, True, None):
+        with pytest.raises(ValueError):
+            search.search(idx, None, q, 0, limit=bad)
+
+
 def test_cosine_of_null_and_mixed_lengths(spark):
     import pandas as pd
     from quire.operators import similarity
@@ -192,7 +219,7 @@ def test_best_match_takes_the_larger_similarity(spark):
         return [float(c), float(np.sqrt(1 - c * c))]
     rows = [(1, "t", 1, unit(0.8499997)), (2, "t", 2, unit(0.8500002)), (3, "t", 3, [1.0, 0.0])]
     v = spark.createDataFrame(rows, "entry_id bigint, topic string, seq bigint, embedding array<double>")
-    best = {r.id: r.match_id for r in similarity.best_earlier_match(v).collect()}
+    best = {r.id: r.match_id for r in similarity_join.best_earlier_match(v).collect()}
     assert best[3] == 2
 
 
