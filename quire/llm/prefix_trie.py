@@ -24,13 +24,12 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialise, to_batch
+from quire.llm.common import materialise, sorted_runs, to_batch
 
 GROUP_ROWS = 1 << 14     # turns of one subtree that a task peels
 CHUNK_IDS = 1 << 16      # conversation ids in one piece of a node's list
@@ -145,35 +144,42 @@ def rebuilt_turns(turns: DataFrame, family: int = 5, most: int = 9) -> tuple[Dat
 
 # ----------------------------------------------------------------- peeling --
 
-def _peel(lo: int):
-    """One subtree of the levels above ``lo``: its nodes, from the deepest
-    level up. ``stop`` is the depth to which a row's conversation reaches, and
-    at which its counts join the node."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, from_below = [], {}
-        for d, level in sorted(((d, x) for d, x in pdf.groupby("d")), key=lambda x: -x[0]):
-            nodes: dict[tuple, list] = from_below
-            turn: dict[tuple, tuple] = {}
-            for k1, k2, l1, l2, size, stop, rep, n, kids, leaves, saved in zip(
-                    *(level[c].tolist() for c in ("k1", "k2", "l1", "l2", "n_bytes", "stop", "rep", "n", "kids",
-                                                  "leaves", "saved"))):
-                turn[k1, k2] = ((k1 - l1) & _MASK, (k2 - l2) & _MASK, size)
-                if stop == d:
-                    add(nodes, (k1, k2), rep, n, kids, leaves, saved)
-            from_below = {}
-            for key, (rep, n, kids, leaves, saved) in nodes.items():
-                p1, p2, size = turn[key]
-                leaves, saved = leaves if kids else 1, saved + (n - 1) * size
-                out.append((d, *key, p1, p2, rep, n, kids, leaves, saved))
-                add(from_below, (p1, p2), rep, n, 1, leaves, saved)
-        return pd.DataFrame(out, columns=[f.split()[0] for f in _RECORD.split(", ")])
+_PATH = ["d", "k1", "k2", "l1", "l2", "n_bytes", "stop", "rep", "n", "kids", "leaves", "saved"]
 
+
+def _peeled(columns: list[np.ndarray]) -> list[tuple]:
+    """The nodes of whole subtrees, from the deepest level up. A row is a turn
+    of a conversation; ``stop`` is the depth to which that reaches, and at which
+    its counts join the node."""
     def add(nodes: dict, key: tuple, rep: int, *counts: int) -> None:
         got = nodes.get(key)
-        nodes[key] = [rep, *counts] if got is None else \
-            [min(got[0], rep), *(a + b for a, b in zip(got[1:], counts))]
-
-    return run
+        nodes[key] = (rep, *counts) if got is None else \
+            (min(got[0], rep), *(a + b for a, b in zip(got[1:], counts)))
+
+    order = np.argsort(-columns[0], kind="stable")
+    columns = [c[order] for c in columns]
+    cuts = [0, *(np.flatnonzero(np.diff(columns[0])) + 1).tolist(), len(order)]
+    out, from_below = [], {}
+    for s, e in zip(cuts, cuts[1:]):
+        d, nodes, turn = int(columns[0][s]), from_below, {}
+        for k1, k2, l1, l2, size, stop, *counts in zip(*(c[s:e].tolist() for c in columns[1:])):
+            turn[k1, k2] = ((k1 - l1) & _MASK, (k2 - l2) & _MASK, size)
+            if stop == d:
+                add(nodes, (k1, k2), *counts)
+        from_below = {}
+        for key, (rep, n, kids, leaves, saved) in nodes.items():
+            p1, p2, size = turn[key]
+            leaves, saved = leaves if kids else 1, saved + (n - 1) * size
+            out.append((d, *key, p1, p2, rep, n, kids, leaves, saved))
+            add(from_below, (p1, p2), rep, n, 1, leaves, saved)
+    return out
+
+
+def _peel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Peels a partition sorted by subtree, some whole subtrees at a time."""
+    names = [f.split()[0] for f in _RECORD.split(", ")]
+    for _, _, columns in sorted_runs(batches, ["a1", "a2"], _PATH, 4 * GROUP_ROWS):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*_peeled(columns[2:]))], names=names)
 
 
 def _largest(live: DataFrame, rows: DataFrame, lo: int) -> int:
@@ -234,7 +240,8 @@ def trie(turns: DataFrame, ids: DataFrame, group_rows: int = GROUP_ROWS) -> Data
         if hi - lo > 1:
             some = rows.where((F.col("d") > lo) & (F.col("d") <= hi)).withColumnRenamed("conv_id", "rep")
             paths = _rooted(live.drop("k1", "k2"), rows, lo).join(some, "rep").where("d <= stop")
-            nodes = paths.groupBy("a1", "a2").applyInPandas(_peel(lo), _RECORD)
+            nodes = paths.repartition("a1", "a2").sortWithinPartitions("a1", "a2") \
+                .select("a1", "a2", *_PATH).mapInArrow(_peel, _RECORD)
         else:
             turn = rows.where(F.col("d") == hi).select(F.col("conv_id").alias("rep"), "l1", "l2", "n_bytes")
             nodes = _merged(live).join(turn, "rep").select(
