@@ -361,10 +361,17 @@ def texts_of(pages: list[Page], model: Model, vocabulary: dict[str, int], least:
 
 
 def training_sample(pages: DataFrame, html_col: str = "html") -> list[str]:
-    """A bounded sample of the pages that hold an ``article`` or ``main``."""
-    return [r[0] for r in pages.select(F.col(html_col).cast("string").alias("html"))
-            .where(F.col("html").rlike("(?i)<(article|main)[ >]") & (F.length("html") <= SAMPLE_CHARS))
-            .withColumn("h", F.xxhash64("html")).orderBy("h", "html").limit(SAMPLE_PAGES).select("html").collect()]
+    """A bounded sample of the pages that hold an ``article`` or ``main``: those
+    with the smallest hashes, equal pages once. The hashes are chosen first, so
+    tasks send numbers to the driver, and pages only when they are chosen."""
+    fit_for_it = pages.select(F.col(html_col).cast("string").alias("html")) \
+        .where(F.col("html").rlike("(?i)<(article|main)[ >]") & (F.length("html") <= SAMPLE_CHARS)) \
+        .select("html", F.xxhash64("html").alias("h"))
+    last = fit_for_it.select("h").distinct().orderBy("h").limit(SAMPLE_PAGES).agg(F.max("h")).first()[0]
+    if last is None:
+        return []
+    return [r[0] for r in fit_for_it.where(F.col("h") <= last).groupBy("h").agg(F.min("html").alias("html"))
+            .orderBy("h").select("html").collect()]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
