@@ -126,30 +126,46 @@ def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     rows = [(int(i), [float(x) for x in rng.normal(size=8).round(1)], 1) for i in range(700)]
     rows += [(700, rows[50][1], 2), (701, None, 0), (702, [1.0] * 7 + [float("nan")], 0), (703, [0.5, None] * 4, 0),
-             (None, [1.0] * 8, 0), (750, [1.0, 2.0], 0), (800, [1.0, 1.0], 0), (3, rows[3][1], 9)]
+             (None, [1.0] * 8, 0), (750, [1.0, 2.0], 0), (800, [1.0, 1.0], 0), (3, rows[3][1], 9),
+             (100, [2.0] * 8, 0), (3, [9.0] * 8, 0), (850, [], 0), (900, [], 0), (901, [], 0),
+             (950, [1e30] * 8, 0), (1000, [1e6] * 8, 0), (1001, [-1e6] * 8, 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")
-    v = {i: [math.floor(256 * x) for x in e] for i, e, _ in rows
-         if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e)}
-    want = set()
-    for i in v:
+    v = [(i, [math.floor(256 * x) for x in e]) for i, e, _ in rows
+         if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e)]
+    v = [(i, e) for i, e in v if sum(x * x for x in e) < 2 ** 63]   # all inner products are longs
+    assert {950} == {r[0] for r in rows if r[1] and 1e30 in r[1]} and 950 not in dict(v) and 1000 in dict(v)
+    want = []
+    for a, (i, e) in enumerate(v):
         if i % 50 == 0:
-            best = sorted(((-sum(a * b for a, b in zip(v[i], v[j])), j) for j in v if j != i and len(v[j]) == len(v[i])))
-            want |= {(i, r + 1, j, -s) for r, (s, j) in enumerate(best[:5])}
-    assert {tuple(r) for r in metric_search.top_k(df).collect()} == want
+            best = sorted((-sum(x * y for x, y in zip(e, f)), j) for b, (j, f) in enumerate(v) if b != a and len(f) == len(e))
+            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best[:5])]
+    assert sorted(tuple(r) for r in metric_search.top_k(df).collect()) == sorted(want)
     assert metric_search.top_k(df.where("1 = 0")).count() == 0
 
 
+def test_far_trees_are_not_sent():
+    """Only queries whose bound at a root reaches their k-th score enter a tree."""
+    import pandas as pd
+    asked = [{"row": 1, "v": [100, 0], "floor": 900}, {"row": 2, "v": [0, 100], "floor": None}]
+    blocks = pd.DataFrame([{"dim": 2, "bucket": 0, "part": 0, "queries": asked}])
+    roots = pd.DataFrame([{"tree": 7, "dim": 2, "bucket": 0, "part": 0, "root": [10, 0], "reach": 1.0},
+                          {"tree": 8, "dim": 2, "bucket": 0, "part": 0, "root": [0, 10], "reach": 1.0},
+                          {"tree": 9, "dim": 2, "bucket": 0, "part": 0, "root": [0, 10], "reach": 9.5}])
+    out = metric_search._entering(blocks, roots)
+    assert {r.tree: [q["row"] for q in r.queries] for r in out.itertuples()} == {7: [1, 2], 8: [2], 9: [1, 2]}
+
+
 def test_tree_prunes_and_is_exact():
     rng = np.random.default_rng(5)
     centres = rng.integers(-2000, 2000, (12, 16))
     v = (centres[rng.integers(0, 12, 6000)] + rng.integers(-20, 20, (6000, 16))).astype(np.int64)
     nodes = metric_search.build_tree(v)
     order = nodes["order"]
-    tree = metric_search.Tree(order.copy(), v[order], {c: nodes[c] for c in metric_search._NODE_ARRAYS})
+    tree = metric_search.Tree(order.copy(), order.copy(), v[order], {c: nodes[c] for c in metric_search._NODE_ARRAYS})
     for q in range(0, 6000, 600):
         score = v @ v[q]
         want = sorted((-int(score[j]), j) for j in range(6000) if j != q)[:5]
-        assert sorted((-s, j) for s, j in tree.search(v[q], q, 5, -np.inf)) == want
+        assert sorted((-s, j) for s, j, _ in tree.search(v[q], q, 5, -np.inf)) == want
     assert tree.computed < 10 * 6000 * 0.6
 
 
