@@ -156,7 +156,8 @@ def links(fps: DataFrame, max_bits: int = 4, block: int = 8192) -> DataFrame:
 def _labelled(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
     """((doc_id, row_key, fp) of every row, (fp, root) of every fingerprint)."""
     fp = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    own = fp.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    # written, so that the variants are made by all tasks, not by the few that the aggregate coalesces to
+    own = materialise(fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     root = components(links(own.select("fp"), max_bits))
     return fp, own.join(root, own.fp == root.node, "left") \
         .select("fp", "least", F.coalesce("root", "fp").alias("root"))
