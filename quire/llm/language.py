@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import doc_texts
+from quire.llm.common import doc_texts, materialise
 
 BINS = 1 << 14         # hashed n-grams; bounds the model and what the driver receives
 PER_LANGUAGE = 400     # labelled rows of a language the classifier is fitted on
@@ -159,7 +159,11 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
           per_language: int = PER_LANGUAGE) -> Model:
     """Fit on (id, text, lang). Document frequencies come from all rows with a
     language; the weights from at most ``per_language`` rows of each, chosen by
-    a hash of the id, of which every fifth is kept for the temperature."""
+    a hash of the id, of which every fifth is kept for the temperature.
+
+    Edge cases: rows without a language or with an empty text teach nothing but
+    frequencies; repeated rows are chosen once; a null id counts as 0; without
+    labelled rows the model knows no language."""
     rows = labelled.select(F.col(id_col).cast("bigint").alias("doc_id"),
                            F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
                            F.col(lang_col).cast("string").alias("lang")).where("lang is not null")
@@ -169,8 +173,13 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     idf = np.full(BINS, np.log((1 + n_docs) / 1) + 1)
     for k, v in df.items():
         idf[k] = np.log((1 + n_docs) / (1 + v)) + 1
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.md5("text"))
-    sample = rows.where("text <> ''").withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= per_language) \
+    # ids, not texts, are ranked; then the texts of the few chosen rows are joined
+    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "key")
+    keyed = rows.where("text <> ''").select("lang", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text",
+                                           F.md5("text").alias("key"))
+    chosen = materialise(keyed.select("lang", "doc_id", "key").distinct().withColumn("r", F.row_number().over(by_hash))
+                         .where(F.col("r") <= per_language), "training-ids")
+    sample = keyed.join(chosen, ["lang", "doc_id", "key"]).dropDuplicates(["lang", "r"]) \
         .select("lang", "r", "text").mapInArrow(_vectors, "lang string, r int, bins array<int>, counts array<int>") \
         .orderBy("lang", "r").toPandas()
     languages = sorted(set(sample["lang"]))
