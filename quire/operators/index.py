@@ -41,6 +41,7 @@ class Bm25Index:
     docs: DataFrame
     stored_stats: DataFrame | None = None
     stored_terms: DataFrame | None = None
+    term_parts: DataFrame | None = None   # (term, df, buckets), several rows a term that add up
 
     @property
     def stats(self) -> DataFrame:
@@ -48,6 +49,8 @@ class Bm25Index:
 
     @property
     def term_stats(self) -> DataFrame:
+        if self.term_parts is not None:
+            return self.term_parts.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
         return term_stats(self.postings) if self.stored_terms is None else self.stored_terms
 
 
@@ -129,11 +132,11 @@ def read_index(spark, path: str, stored: bool = True) -> Bm25Index:
 
 def refresh_index(index: Bm25Index, removed_ids: DataFrame, added_entries: DataFrame,
                   text_col: str = "line") -> Bm25Index:
-    """Incremental refresh: drop postings/docs of changed or removed entries
-    (anti-join on entry_id) and add those of new entries. Corpus and term
-    statistics are derived from the result, so refresh equals a rebuild
-    over the changed snapshot. An entry whose line changed is passed both
-    as removed (old id) and added (new line)."""
+    """Refresh of an index that is not written: drop postings/docs of changed
+    or removed entries (anti-join on entry_id) and add those of new entries;
+    statistics are derived from the result. A written index is refreshed by
+    adding a segment (:mod:`quire.operators.segments`). An entry whose line
+    changed is passed both as removed (old id) and added (new line)."""
     gone = removed_ids.select("entry_id").union(added_entries.select("entry_id")).distinct()
     kept_post = index.postings.join(gone, "entry_id", "left_anti")
     kept_docs = index.docs.join(gone, "entry_id", "left_anti")

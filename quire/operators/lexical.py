@@ -45,25 +45,30 @@ def ranked(df: DataFrame, score_col: str, k: int, partition_col: str = "query_id
 
 
 def query_weights(index: Bm25Index, queries: DataFrame, text_col: str = "query") -> DataFrame:
-    """(query_id, term, qw, first_bucket, last_bucket): qtf * idf of every
-    query term the index holds, written once (an eager job), so that its size
-    and its buckets are read from a small table."""
+    """(query_id, term, qw, buckets): qtf * idf of every query term the index
+    holds, written once (an eager job), so that its size and its buckets are
+    read from a small table. Only the statistics of query terms are added up."""
     n_docs = index.stats.select("n_docs").scalar()
-    terms = index.term_stats
-    for c in ("first_bucket", "last_bucket"):
-        if c not in terms.columns:
-            terms = terms.withColumn(c, F.lit(None).cast("int"))
-    return cut_lineage(query_terms(queries, text_col).join(terms, "term").select(
-        "query_id", "term", (F.col("qtf") * idf(n_docs, F.col("df"))).alias("qw"), "first_bucket", "last_bucket"),
-        "query-weights")
+    if index.term_parts is not None:
+        terms = index.term_parts
+    elif index.stored_terms is not None:
+        terms = index.stored_terms.select("term", "df", F.sequence("first_bucket", "last_bucket").alias("buckets"))
+    else:
+        terms = index.term_stats.withColumn("buckets", F.lit(None).cast("array<int>"))
+    found = query_terms(queries, text_col).join(terms, "term")
+    if index.term_parts is not None:
+        found = found.groupBy("query_id", "term", "qtf").agg(
+            F.sum("df").alias("df"), F.flatten(F.collect_list("buckets")).alias("buckets")).where("df > 0")
+    return cut_lineage(found.select(
+        "query_id", "term", (F.col("qtf") * idf(n_docs, F.col("df"))).alias("qw"), "buckets"), "query-weights")
 
 
 def postings_of(index: Bm25Index, weights: DataFrame) -> DataFrame:
     """The postings' buckets that hold any of the terms: at most one integer
     per bucket of the index reaches the driver, as a partition filter."""
-    if index.stored_terms is None:
+    if index.stored_terms is None and index.term_parts is None:
         return index.postings
-    held = weights.select(F.explode(F.sequence("first_bucket", "last_bucket")).alias("b")).distinct()
+    held = weights.select(F.explode("buckets").alias("b")).distinct()
     return index.postings.where(F.col("bucket").isin([r.b for r in held.collect()]))
 
 

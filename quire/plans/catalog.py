@@ -15,7 +15,7 @@ from quire.functions.dates import epoch_day
 from quire.functions.scoring import SCORE_DIGITS, boost, idf
 from quire.functions.text import normalize_topic, parse_entry, render_entry, tokenize
 from quire.functions.scoring import cosine
-from quire.operators import consolidate, edits, notes, search, similarity, similarity_join, vectors
+from quire.operators import consolidate, edits, notes, search, segments, similarity, similarity_join, vectors
 from quire.operators.sizing import bounded_broadcast
 from quire.sources import notes_files, tables
 from quire.streaming import writes as streams
@@ -45,6 +45,12 @@ def persisted_index(spark: SparkSession, sf_dir: str, text_col: str = "line") ->
     return ix.read_index(spark, path)
 
 
+def index_version(spark: SparkSession, sf_dir: str) -> str:
+    """The persisted index as a version of one segment."""
+    persisted_index(spark, sf_dir)
+    return segments.create(spark, _INDEX_PATHS[spark.sparkContext.applicationId, sf_dir, "line"])
+
+
 _VECTOR_PATHS: dict[tuple[str, str], str] = {}
 
 
@@ -140,10 +146,18 @@ def accepted_new_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_refresh_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     ents = fx.entries(spark, sf_dir)
     _, removed = notes.forget(ents, FORGET_TOPIC, FORGET_SEARCH)
-    base = persisted_index(spark, sf_dir)
-    fresh = ix.refresh_index(base, removed.select("entry_id"), accepted_new_entries(spark, sf_dir))
-    out = ix.write_index(fresh, fresh_path(spark, "bm25-index"))
-    return out.postings.select("term", "entry_id", "tf")
+    version = segments.refresh(spark, index_version(spark, sf_dir), removed.select("entry_id"),
+                               accepted_new_entries(spark, sf_dir))
+    return segments.read(spark, version).postings.select("term", "entry_id", "tf")
+
+
+def q_refreshed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 over a refreshed index: its statistics are those of a rebuild."""
+    _, removed = notes.forget(fx.entries(spark, sf_dir), FORGET_TOPIC, FORGET_SEARCH)
+    version = segments.refresh(spark, index_version(spark, sf_dir), removed.select("entry_id"),
+                               accepted_new_entries(spark, sf_dir))
+    top = lexical.bm25_topk(segments.read(spark, version), fx.search_queries(spark, sf_dir))
+    return top.drop("line")
 
 
 def q_read_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,8 +318,7 @@ def q_forget_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     ents = fx.entries(spark, sf_dir)
     kept, removed = notes.forget(ents, FORGET_TOPIC, FORGET_SEARCH)
     kept_path = tables.write_table(kept.select(*ENTRY_COLS), fresh_path(spark, "entries"), ("topic",))
-    index = ix.write_index(ix.refresh_index(persisted_index(spark, sf_dir), removed,
-                                            kept.limit(0)), fresh_path(spark, "bm25-index"))
+    index = segments.read(spark, segments.refresh(spark, index_version(spark, sf_dir), removed, kept.limit(0)))
     vec_path = tables.write_table(vectors.delete(persisted_vectors(spark, sf_dir), removed),
                                   fresh_path(spark, "vectors"))
     n_ent = tables.read_table(spark, kept_path).groupBy("topic").agg(F.count(F.lit(1)).alias("n_entries"))
@@ -444,6 +457,7 @@ QUERIES: dict[str, QueryFn] = {
     "corpus_stats": q_corpus_stats,
     "build_index": q_build_index,
     "refresh_index": q_refresh_index,
+    "refreshed_search": q_refreshed_search,
     "read_topic": q_read_topic,
     "topic_counts": q_topic_counts,
     "forget_removed": q_forget_removed,

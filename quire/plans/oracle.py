@@ -233,6 +233,14 @@ snapshot AS (
   UNION ALL SELECT entry_id, topic, line FROM new_entries
 )""", index_ctes("snapshot")) + "\nSELECT term, entry_id, tf FROM postings",
 
+    "refreshed_search": with_(ENTRIES, NEW_WRITES, f"""
+snapshot AS (
+  SELECT entry_id, topic, line FROM entry_lines WHERE NOT {FORGET_HIT}
+  UNION ALL SELECT entry_id, topic, line FROM new_entries
+)""", QUERIES, index_ctes("snapshot"), BM25_SCORES) + """
+SELECT t.query_id, CAST(t.rank AS BIGINT) AS rank, t.entry_id, e.topic, round(t.score, 6) AS score
+FROM bm25_top t JOIN snapshot e USING (entry_id)""",
+
     "read_topic": with_(ENTRIES) + """
 SELECT entry_id, seq, line FROM entry_lines WHERE topic = 'en' AND starts_with(line, '- ')""",
 

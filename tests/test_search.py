@@ -188,8 +188,8 @@ def test_topk_emits_k_rows_however_many_tie(spark):
 
 
 def test_stale_vectors_are_not_found_in_any_mode(spark, tmp_dir):
-    from helpers import entries_df
-    entries = entries_df(spark, [("t", "2024-01-01", f"note number {i}", 1) for i in range(3)])
+    from helpers import dated_entries
+    entries = dated_entries(spark, [(i, "t", "2024-01-01", f"note number {i}", 1) for i in range(3)])
     idx = ix.write_index(ix.build_index(entries), f"{tmp_dir}/stale")
     vecs = vectors.embed_entries(entries)
     stale = vecs.withColumn("entry_id", vecs.entry_id + 1_000)
