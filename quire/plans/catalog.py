@@ -15,7 +15,7 @@ from quire.functions.dates import epoch_day
 from quire.functions.scoring import SCORE_DIGITS, boost, idf
 from quire.functions.text import normalize_topic, parse_entry, render_entry, tokenize
 from quire.functions.scoring import cosine
-from quire.operators import consolidate, edits, notes, search, segments, similarity, similarity_join, vectors
+from quire.operators import consolidate, edits, notes, search, segments, similarity, similarity_join, vectors, write_through
 from quire.operators.sizing import bounded_broadcast
 from quire.sources import notes_files, tables
 from quire.streaming import writes as streams
@@ -366,6 +366,16 @@ def q_consolidate_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return res.outcomes.select("seq", "entry_id", "topic", "outcome", "match_seq", "new_count")
 
 
+def q_write_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the second half of the writes changes in the entries that the
+    first half left live."""
+    w = cut_lineage(_writes(spark, sf_dir), "writes")
+    cut = w.agg(F.floor((F.min("seq") + F.max("seq")) / 2)).first()[0]
+    before = consolidate.fold(w.where(F.col("seq") <= cut)).live
+    after = consolidate.fold(w.where(F.col("seq") > cut), seed=before)
+    return write_through.changes(before, after).select("entry_id", "topic", "change", "reinforce_count")
+
+
 def q_export_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = notes_files.export_notes(fx.entries(spark, sf_dir), fresh_path(spark, "notes"))
     return notes_files.read_notebooks(spark, path)
@@ -436,6 +446,7 @@ QUERIES: dict[str, QueryFn] = {
     "consolidate_classify": q_consolidate_classify,
     "tombstones": q_tombstones,
     "consolidate_fold": q_consolidate_fold,
+    "write_changes": q_write_changes,
     "hash_embed": q_hash_embed,
     "cosine_topk": q_cosine_topk,
     "cosine_pairs": q_cosine_pairs,

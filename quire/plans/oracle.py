@@ -531,5 +531,15 @@ SELECT entry_id, topic, line, seq FROM new_entries""",
 SELECT topic, COUNT(*) AS n_entries FROM new_entries GROUP BY topic""",
 
     "consolidate_fold": FOLD,
+    "write_changes": FOLD[:FOLD.rindex("SELECT seq, entry_id")] + """,
+ks AS (SELECT topic, count(*) AS n, count(*) FILTER (WHERE seq <= (SELECT (min(seq) + max(seq)) // 2 FROM writes)) AS n1
+       FROM writes GROUP BY topic),
+a AS (SELECT unnest(live, recursive := true) FROM fold JOIN ks ON fold.topic = ks.topic AND fold.k = ks.n1),
+b AS (SELECT unnest(live, recursive := true) FROM fold JOIN ks ON fold.topic = ks.topic AND fold.k = ks.n)
+SELECT w.entry_id, w.topic, CASE WHEN b.seq IS NULL THEN 'delete' WHEN a.seq IS NULL THEN 'insert' ELSE 'update' END AS change,
+       coalesce(b.cnt, a.cnt) AS reinforce_count
+FROM (SELECT seq, cnt FROM a) a FULL JOIN (SELECT seq, cnt FROM b) b ON a.seq = b.seq
+JOIN writes w ON w.seq = coalesce(a.seq, b.seq)
+WHERE a.seq IS NULL OR b.seq IS NULL OR a.cnt <> b.cnt""",
     "stream_consolidate": FOLD,
 })

@@ -49,3 +49,43 @@ def test_stream_batches_are_idempotent(spark):
     # a second run with a fresh checkpoint replays every batch into the same folders
     assert run() == first
     assert streams.latest_batch(spark, f"{root}/live") == 1
+
+
+def test_a_batch_costs_its_own_topics(spark):
+    """Batches read and write their topics only; a restarted stream goes on from there."""
+    from helpers import writes_df
+
+    from quire.operators import consolidate
+    batches = [[(1, "a", "one red stone", "2024-01-01", False), (2, "007", "two blue rivers", "2024-01-01", False)],
+               [(3, "a", "one red stone", "2024-01-02", False)],
+               [(4, "c", "green cloud", "2024-01-03", False), (5, "007", "two blue rivers", "2024-01-04", True)]]
+    root, ck, feed = fresh_path(spark, "sf"), fresh_path(spark, "ck"), fresh_path(spark, "feed")
+    for rows in batches:
+        part = writes_df(spark, rows).withColumnsRenamed({"topic": "topic_raw", "body": "body_raw"})
+        part.select(*[c.split()[0] for c in streams.WRITE_SCHEMA.split(", ")]).write.mode("append").parquet(feed)
+        streams.stream_consolidate(streams.read_write_stream(spark, feed), root, ck)   # a new query each time
+    held = [{r.topic for r in spark.read.schema(streams.LIVE_SCHEMA).parquet(f"{root}/live/batch={b}").collect()}
+            for b in range(3)]
+    assert held == [{"a", "007"}, {"a"}, {"c", "007"}]
+    whole = consolidate.fold(writes_df(spark, [r for rows in batches for r in rows])).live
+    key = ["topic", "seq", "reinforce_count", "line"]
+    got = streams.live_entries(spark, root)
+    assert sorted(map(tuple, got.select(*key).collect())) == sorted(map(tuple, whole.select(*key).collect()))
+    early = streams.live_entries(spark, root, before=1)
+    assert sorted((r.topic, r.seq) for r in early.collect()) == [("007", 2), ("a", 1)]
+
+
+def test_a_stream_goes_on_from_a_seed(spark):
+    from helpers import writes_df
+
+    from quire.operators import consolidate
+    seed = consolidate.fold(writes_df(spark, [(1, "a", "one red stone", "2024-01-01", False),
+                                              (2, "b", "two blue rivers", "2024-01-01", False)])).live
+    seed_path, root, feed = (fresh_path(spark, n) for n in ("seed", "sf", "feed"))
+    seed.select(*streams.LIVE_COLS).write.parquet(seed_path)
+    part = writes_df(spark, [(3, "a", "one red stone", "2024-02-01", False)]) \
+        .withColumnsRenamed({"topic": "topic_raw", "body": "body_raw"})
+    part.select(*[c.split()[0] for c in streams.WRITE_SCHEMA.split(", ")]).write.parquet(feed)
+    streams.stream_consolidate(streams.read_write_stream(spark, feed), root, fresh_path(spark, "ck"), seed_path)
+    got = streams.live_entries(spark, root, seed_path).collect()
+    assert sorted((r.topic, r.seq, r.reinforce_count) for r in got) == [("a", 1, 2), ("b", 2, 1)]
