@@ -46,10 +46,10 @@ def test_epoch_day(spark, s, want):
 
 
 @pytest.mark.parametrize("line", [
-    "- 2026-04-28: hello world", "- 2026-04-28: prefers TDD [×3]", "- 2026-04-28: hello [×7]",
+    "- 2026-04-28: river stones", "- 2026-04-28: likes tea [×3]", "- 2026-04-28: lamp [×7]",
     "- 2026-04-28: a [×2] b [×x]", "- 2026-04-28: a [×2] [×03]", "- 2026-04-28:  [×4]",
     "- 2026-04-28: ", "- 2026-04-28: big [×99999999999]", "- 2026-04-28: plus [×+5]",
-    "# header", "", "- not a date: oops", "-2026-04-28: x", "- 2026-04-28 x",
+    "# header", "", "- some day: lost", "-2026-04-28: x", "- 2026-04-28 x",
 ])
 def test_parse_entry_matches_model(spark, line):
     got = one(spark, parse_entry, line)
@@ -61,13 +61,13 @@ def test_parse_entry_matches_model(spark, line):
 
 
 def test_render_and_roundtrip(spark):
-    df = spark.createDataFrame([("2026-04-28", "hi", 1), ("2026-04-28", "hi", 5)], "d string, b string, c bigint")
+    df = spark.createDataFrame([("2026-04-28", "lamp", 1), ("2026-04-28", "lamp", 5)], "d string, b string, c bigint")
     got = [r.l for r in df.select(render_entry_str("d", "b", "c").alias("l")).collect()]
-    assert got == ["- 2026-04-28: hi", "- 2026-04-28: hi [×5]"]
-    p = one(spark, parse_entry, "- 2026-04-28: hello [×7]")
+    assert got == ["- 2026-04-28: lamp", "- 2026-04-28: lamp [×5]"]
+    p = one(spark, parse_entry, "- 2026-04-28: lamp [×7]")
     back = spark.createDataFrame([(p["date"], p["body"], p["count"])], "d string, b string, c bigint") \
         .select(render_entry_str("d", "b", "c").alias("l")).first().l
-    assert back == "- 2026-04-28: hello [×7]"
+    assert back == "- 2026-04-28: lamp [×7]"
 
 
 def b(spark, line, today):
@@ -75,17 +75,17 @@ def b(spark, line, today):
 
 
 def test_boost_golden(spark):
-    assert b(spark, f"- {TODAY}: hi", TODAY) == pytest.approx(1.0, abs=1e-9)
-    assert b(spark, "- 2025-04-28: hi", "2026-04-28") == pytest.approx(0.5, abs=1e-6)
-    b1, b3, b10 = (b(spark, f"- {TODAY}: hi" + s, TODAY) for s in ("", " [×3]", " [×10]"))
+    assert b(spark, f"- {TODAY}: lamp", TODAY) == pytest.approx(1.0, abs=1e-9)
+    assert b(spark, "- 2025-04-28: lamp", "2026-04-28") == pytest.approx(0.5, abs=1e-6)
+    b1, b3, b10 = (b(spark, f"- {TODAY}: lamp" + s, TODAY) for s in ("", " [×3]", " [×10]"))
     assert b1 < b3 < b10
     assert b3 == pytest.approx(1 + 0.5 * math.log(3)) and b3 == pytest.approx(1.55, abs=0.01)
     assert b10 == pytest.approx(2.15, abs=0.01)
-    two_years = b(spark, "- 2024-04-28: hi", "2026-04-28")
+    two_years = b(spark, "- 2024-04-28: lamp", "2026-04-28")
     assert two_years == pytest.approx(0.25, abs=0.002)
     assert b(spark, "not an entry", "1970-01-01") == 1.0
     assert b(spark, "", "1970-01-01") == 1.0
-    assert b(spark, "- 2099-01-01: future", "1970-01-01") == pytest.approx(1.0, abs=1e-9)
+    assert b(spark, "- 2088-07-09: later", "1970-01-01") == pytest.approx(1.0, abs=1e-9)
     # unparseable date: neutral, and the counter is ignored too
     assert b(spark, "- 2026-13-01: x [×9]", TODAY) == 1.0
     # counter 0 parses, and is clamped to 1
