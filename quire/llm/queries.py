@@ -122,6 +122,31 @@ d AS (SELECT doc_id, CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15))
 SELECT doc_id, slot, CAST(owners[slot + 1] AS INTEGER) AS shard_id,
        'shard-' || lpad(owners[slot + 1], 2, '0') AS shard
 FROM d, t""",
+    "op12_prefix_trie": """
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
+           WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({'r': r, 'x': x} ORDER BY turn NULLS FIRST, md5(md5(r) || md5(x))) AS own FROM t GROUP BY conv_id),
+-- CRC-32 of the decimal id: each byte is xor-ed in and then shifted out in eight steps (-1)
+crc AS (SELECT conv_id, own, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+          string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+          lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) % 9 AS h
+        FROM own),
+seqs AS (SELECT a.conv_id, list_concat(coalesce(b.own[1:a.h], []), a.own[a.h + 1:]) AS s
+         FROM crc a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 5),
+prefixes AS (SELECT conv_id, d, s[1:d] AS p, d = len(s) AS last
+             FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM seqs)),
+nodes AS (SELECT d, p, min(conv_id) AS conv_id, count(*) AS n_convs,
+                 coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE last), '') AS ends
+          FROM prefixes GROUP BY d, p),
+kids AS (SELECT d - 1 AS d, p[1:d - 1] AS p, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+told AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children, (n_convs - 1) * coalesce(strlen(nodes.p[nodes.d].x), 0) AS own
+         FROM nodes LEFT JOIN kids ON kids.d = nodes.d AND kids.p = nodes.p),
+below AS (SELECT a.d, a.p, count(*) FILTER (WHERE b.n_children = 0) AS n_leaves, sum(b.own) AS saved
+          FROM told a JOIN told b ON b.d >= a.d AND b.p[1:a.d] = a.p GROUP BY a.d, a.p)
+SELECT told.conv_id, told.d AS depth, up.conv_id AS parent_conv_id, told.n_convs, told.n_children, below.n_leaves,
+       CAST(below.saved AS BIGINT) AS saved_tokens, sha256(told.ends) AS ends_sha256
+FROM told JOIN below ON below.d = told.d AND below.p = told.p
+LEFT JOIN nodes up ON up.d = told.d - 1 AND up.p = told.p[1:told.d - 1]""",
     "op7_quality": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
