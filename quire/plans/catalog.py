@@ -354,6 +354,16 @@ def q_consolidate_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.round("sim", SCORE_DIGITS).alias("sim"), "new_count")
 
 
+def q_classify_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second half of the writes judged against the first half of the
+    entries as stored."""
+    entries = cut_lineage(fx.entries(spark, sf_dir), "entries")
+    cut = entries.agg(F.floor((F.min("seq") + F.max("seq")) / 2)).first()[0]
+    later = fx.writes_from_entries(entries.where(F.col("seq") > cut))
+    c = consolidate.classify(later, live=entries.where(F.col("seq") <= cut))
+    return c.select("entry_id", "topic", "outcome", "match_id", F.round("sim", SCORE_DIGITS).alias("sim"), "new_count")
+
+
 def q_tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = _writes(spark, sf_dir)
     t = consolidate.classify_tombstones(w, consolidate.classify(w))
@@ -444,6 +454,7 @@ QUERIES: dict[str, QueryFn] = {
     "best_match": q_best_match,
     "near_pairs": q_near_pairs,
     "consolidate_classify": q_consolidate_classify,
+    "classify_live": q_classify_live,
     "tombstones": q_tombstones,
     "consolidate_fold": q_consolidate_fold,
     "write_changes": q_write_changes,

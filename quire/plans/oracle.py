@@ -466,6 +466,21 @@ SELECT c.entry_id, c.topic, c.outcome,
        CAST(CASE WHEN c.outcome = 'reaffirm' THEN m.base_count + 1 ELSE c.base_count END AS BIGINT) AS new_count
 FROM cls c LEFT JOIN writes m ON m.seq = c.match_seq""",
 
+    "classify_live": with_(ENTRIES, WRITES, hash_vectors("bvec", "writes", "entry_id", "body"), """
+cut AS (SELECT (min(seq) + max(seq)) // 2 AS c FROM entries),
+near AS (
+  SELECT w.entry_id AS id, e.entry_id AS match_id, e.reinforce_count, """ + cos("wv.v", "ev.v") + """ AS sim
+  FROM cut JOIN writes w ON w.seq > c JOIN entries e ON e.seq <= c AND e.topic = w.topic
+  JOIN bvec wv ON wv.entry_id = w.entry_id JOIN bvec ev ON ev.entry_id = e.entry_id
+  QUALIFY row_number() OVER (PARTITION BY w.entry_id ORDER BY round(sim, 12) DESC, e.seq) = 1
+)""") + """
+SELECT w.entry_id, w.topic, CASE WHEN sim >= CAST(0.95 AS DOUBLE) THEN 'reaffirm'
+                                 WHEN sim >= CAST(0.85 AS DOUBLE) THEN 'supersede' ELSE 'append' END AS outcome,
+       CASE WHEN sim >= CAST(0.85 AS DOUBLE) THEN match_id END AS match_id,
+       CASE WHEN sim >= CAST(0.85 AS DOUBLE) THEN round(sim, 6) END AS sim,
+       CAST(CASE WHEN sim >= CAST(0.95 AS DOUBLE) THEN reinforce_count + 1 ELSE base_count END AS BIGINT) AS new_count
+FROM cut JOIN writes w ON w.seq > c LEFT JOIN near ON near.id = w.entry_id""",
+
     "tombstones": with_(*_CONS) + """
 SELECT c.written_on AS logged_on, c.topic, c.outcome AS kind,
        """ + render("m.written_on", "m.cand_body", "m.base_count") + """ AS old_line,
