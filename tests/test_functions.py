@@ -118,3 +118,23 @@ def test_hash_tokens_of_mixed_lengths(spark, dim):
     df = spark.createDataFrame([(t,) for t in toks], "t string")
     want = {r.t: r.b for r in df.select("t", token_bin("t", dim).alias("b")).collect()}
     assert hash_tokens(toks, dim).tolist() == [want[t] for t in toks]
+
+
+def test_token_slices_keep_every_token(spark, monkeypatch):
+    """Small slices of a batch, with null, empty and long texts, hold the same tokens as ``tokenize``."""
+    import pyarrow as pa
+    from quire.functions import text
+    docs = [None, "", "--", "One two, TWO", "x" * 300] + [f"w{i} " * (i % 9) + "é漢" for i in range(200)]
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i int, d string").coalesce(1)
+    rows = df.select("i", text.tokenize("d").alias("t"), text.joined_tokens("d").alias("j")).orderBy("i").collect()
+    batch = pa.RecordBatch.from_arrays([pa.array([r.i for r in rows]), pa.array([r.j for r in rows])], names=["i", "j"])
+    for size, most in ((64, 1 << 30), (1 << 20, 7), (1 << 20, 1 << 30)):
+        monkeypatch.setattr(text, "TOKEN_BYTES", size)
+        got, slices = [], 0
+        for part, lens, codes, distinct in text.token_slices([batch], "j", most):
+            words = [distinct[int(c)].as_py() for c in codes]
+            ends = lens.cumsum()
+            got += [words[e - n:e] for e, n in zip(ends, lens)]
+            slices += 1
+            assert part.num_rows == len(lens) <= most
+        assert got == [r.t or [] for r in rows] and (slices > 1) == (size == 64 or most == 7)
