@@ -17,21 +17,23 @@ A search joins its terms with ``term_stats`` and reads only their buckets,
 once; the two statistics tables are written with the index. An index that
 is not written (fresh from ``build_index`` or ``refresh_index``) derives them.
 
-Building is narrow up to one aggregation: tokens are exploded per entry and
-counted by (term, entry_id); the partial aggregate runs map-side, so the
-shuffle carries distinct (entry, term) pairs, not token occurrences.
+Building is narrow up to the one shuffle that clusters the postings: tokens are
+counted within their row, and the shuffle carries distinct (entry, term) pairs.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import tokenize
+from quire.functions.text import joined_tokens, token_slices, tokenize
 from quire.session import discard, fresh_path
 
+BUCKET_ROWS = 2_000_000     # postings of a bucket, where the session's partitions would hold more
 POSTINGS_SCHEMA = "term string, entry_id bigint, tf bigint, dl bigint, bucket int"
 
 
@@ -42,6 +44,7 @@ class Bm25Index:
     stored_stats: DataFrame | None = None
     stored_terms: DataFrame | None = None
     term_parts: DataFrame | None = None   # (term, df, buckets), several rows a term that add up
+    counts: DataFrame | None = None       # the postings before rows of one (term, entry) are added up
 
     @property
     def stats(self) -> DataFrame:
@@ -54,23 +57,30 @@ class Bm25Index:
         return term_stats(self.postings) if self.stored_terms is None else self.stored_terms
 
 
-def doc_tokens(entries: DataFrame, text_col: str = "line") -> DataFrame:
-    return entries.select("entry_id", "topic", tokenize(text_col).alias("tokens"))
+def term_counts(entries: DataFrame, text_col: str = "line") -> DataFrame:
+    """(term, entry_id, tf, dl) by row of ``entries``: a row's tokens are counted
+    where they are, without a shuffle. Rows of one entry_id are not added up."""
+    def fn(batches):
+        for rows, lens, codes, distinct in token_slices(batches, "_toks"):
+            width = max(1, len(distinct))
+            key, tf = np.unique(np.repeat(np.arange(len(lens)) * width, lens) + codes, return_counts=True)
+            row, code = key // width, key % width
+            yield pa.RecordBatch.from_arrays(
+                [distinct.take(pa.array(code)), rows.column(0).take(pa.array(row)), pa.array(tf.astype(np.int64)),
+                 pa.array(lens[row])], names=["term", "entry_id", "tf", "dl"])
+
+    id_type = entries.schema["entry_id"].dataType.simpleString()
+    return entries.select("entry_id", joined_tokens(text_col).alias("_toks")) \
+        .mapInArrow(fn, f"term string, entry_id {id_type}, tf bigint, dl bigint")
+
+
+def _added_up(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("term", "entry_id", "dl").agg(F.sum("tf").alias("tf")).select("term", "entry_id", "tf", "dl")
 
 
 def term_frequencies(entries: DataFrame, text_col: str = "line") -> DataFrame:
     """(term, entry_id, tf, dl)."""
-    toks = doc_tokens(entries, text_col)
-    # explode_outer + null filter: plain explode makes the optimizer add a
-    # size(tokens) > 0 filter that re-evaluates the tokenizer.
-    return (
-        toks.select("entry_id", F.size("tokens").cast("bigint").alias("dl"),
-                    F.explode_outer("tokens").alias("term"))
-        .where(F.col("term").isNotNull())
-        .groupBy("term", "entry_id", "dl")
-        .agg(F.count(F.lit(1)).alias("tf"))
-        .select("term", "entry_id", "tf", "dl")
-    )
+    return _added_up(term_counts(entries, text_col))
 
 
 def doc_stats(entries: DataFrame, text_col: str = "line") -> DataFrame:
@@ -97,7 +107,8 @@ def term_stats(postings: DataFrame) -> DataFrame:
 
 def build_index(entries: DataFrame, text_col: str = "line") -> Bm25Index:
     """Lazy index over an entry snapshot (nothing is computed yet)."""
-    return Bm25Index(term_frequencies(entries, text_col), doc_stats(entries, text_col))
+    counts = term_counts(entries, text_col)
+    return Bm25Index(_added_up(counts), doc_stats(entries, text_col), counts=counts)
 
 
 def write_index(index: Bm25Index, path: str) -> Bm25Index:
@@ -105,15 +116,22 @@ def write_index(index: Bm25Index, path: str) -> Bm25Index:
 
     The counted postings are written once before they are range-partitioned,
     because choosing the ranges samples its input and would otherwise run the
-    tokenizer twice; that table is deleted once the clustered one is written."""
+    tokenizer twice; that table is deleted once the clustered one is written.
+    Counts of a fresh index are added up after that one shuffle, whose ranges
+    keep the rows of a (term, entry) together."""
     spark = index.postings.sparkSession
+    index.docs.write.mode("overwrite").parquet(f"{path}/docs")
     counted = fresh_path(spark, "postings")
-    index.postings.select("term", "entry_id", "tf", "dl").write.parquet(counted)
-    (spark.read.parquet(counted).repartitionByRange("term", "entry_id")
+    fresh = index.counts is not None
+    (index.counts if fresh else index.postings).select("term", "entry_id", "tf", "dl").write.parquet(counted)
+    counts = spark.read.parquet(counted)
+    n = -(-counts.count() // BUCKET_ROWS)   # from the files' footers
+    few = n <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = counts.repartitionByRange("term", "entry_id") if few else counts.repartitionByRange(n, "term", "entry_id")
+    ((_added_up(ranged) if fresh else ranged)
      .withColumn("bucket", F.spark_partition_id()).sortWithinPartitions("term", "entry_id")
      .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
     discard(spark, counted)
-    index.docs.write.mode("overwrite").parquet(f"{path}/docs")
     written = read_index(spark, path, stored=False)
     corpus_stats(written.docs).write.mode("overwrite").parquet(f"{path}/stats")
     (written.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.min("bucket").alias("first_bucket"),
