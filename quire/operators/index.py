@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import joined_tokens, token_slices, tokenize
+from quire.functions.text import token_slices, token_text, tokenize
 from quire.session import discard, fresh_path
 
 BUCKET_ROWS = 2_000_000     # postings of a bucket, where the session's partitions would hold more
@@ -70,7 +70,7 @@ def term_counts(entries: DataFrame, text_col: str = "line") -> DataFrame:
                  pa.array(lens[row])], names=["term", "entry_id", "tf", "dl"])
 
     id_type = entries.schema["entry_id"].dataType.simpleString()
-    return entries.select("entry_id", joined_tokens(text_col).alias("_toks")) \
+    return entries.select("entry_id", token_text(text_col).alias("_toks")) \
         .mapInArrow(fn, f"term string, entry_id {id_type}, tf bigint, dl bigint")
 
 
@@ -117,8 +117,9 @@ def write_index(index: Bm25Index, path: str) -> Bm25Index:
     The counted postings are written once before they are range-partitioned,
     because choosing the ranges samples its input and would otherwise run the
     tokenizer twice; that table is deleted once the clustered one is written.
-    Counts of a fresh index are added up after that one shuffle, whose ranges
-    keep the rows of a (term, entry) together."""
+    Where an entry_id occurs twice, counts of a fresh index are added up after
+    that one shuffle, whose ranges keep the rows of a (term, entry) together; where
+    every id is one row's there is nothing to add up."""
     spark = index.postings.sparkSession
     index.docs.write.mode("overwrite").parquet(f"{path}/docs")
     counted = fresh_path(spark, "postings")
@@ -128,7 +129,8 @@ def write_index(index: Bm25Index, path: str) -> Bm25Index:
     n = -(-counts.count() // BUCKET_ROWS)   # from the files' footers
     few = n <= int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = counts.repartitionByRange("term", "entry_id") if few else counts.repartitionByRange(n, "term", "entry_id")
-    ((_added_up(ranged) if fresh else ranged)
+    repeated = fresh and not _ids_unique(spark.read.parquet(f"{path}/docs"))
+    ((_added_up(ranged) if repeated else ranged)
      .withColumn("bucket", F.spark_partition_id()).sortWithinPartitions("term", "entry_id")
      .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
     discard(spark, counted)
@@ -140,6 +142,10 @@ def write_index(index: Bm25Index, path: str) -> Bm25Index:
     return read_index(spark, path)
 
 
+def _ids_unique(docs: DataFrame) -> bool:
+    return docs.groupBy("entry_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+
+
 def read_index(spark, path: str, stored: bool = True) -> Bm25Index:
     postings = spark.read.schema(POSTINGS_SCHEMA).parquet(f"{path}/postings")
     docs = spark.read.parquet(f"{path}/docs")
