@@ -100,8 +100,8 @@ def refresh(spark: SparkSession, version: str, removed_ids: DataFrame, added: Da
         version = merge(spark, version)
         rows = _manifest(spark, version)
     added = cut_lineage(added, "added-entries")
-    gone = removed_ids.select("entry_id").unionByName(added.select("entry_id")).distinct()
-    found = cut_lineage(_docs(spark, rows).join(gone, "entry_id", "left_semi"), "removed-docs")
+    gone = cut_lineage(removed_ids.select("entry_id").unionByName(added.select("entry_id")).distinct(), "removed-ids")
+    found = cut_lineage(_docs(spark, rows).join(bounded_broadcast(gone), "entry_id", "left_semi"), "removed-docs")
     n = rows[-1][0] + 1
     folder = fresh_path(spark, "segment")
     found.select("segment", "entry_id", "dl").write.parquet(f"{folder}/removed")
